@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable
+from typing import Any
 
 _CACHE: dict[tuple, object] = {}
 
@@ -17,8 +18,10 @@ _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: The vocabulary's own pre-token pattern, over lowered _PLAIN text.
 _PRE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 _CUT = re.compile("[\t\n\r ]")
+#: Words of _PLAIN letters, and full stops or commas that stand alone: white space around those leaves the pre-tokens.
+_PROSE, _RUN = re.compile("[\t\n\r A-Za-zÀ-ÖØ-öø-ÿ.,]*"), re.compile("[.,][.,]")
 LONG = 1 << 20
-MEMO = 1_000_000
+MEMO = 300_000
 
 
 def split_long(text: str, most: int = LONG) -> list[str]:
@@ -43,32 +46,49 @@ def _byte_letters() -> list[str]:
     return out
 
 
+def _bare_model(path: str) -> Any:
+    """The file's merge model without a cache of its own, which new words only churn."""
+    import json
+
+    from tokenizers.models import BPE
+
+    with open(path) as f:
+        spec = json.load(f)["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+    return BPE(vocab=spec["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix=spec["end_of_word_suffix"])
+
+
 class _Memo(dict):
-    """A dict that makes what it lacks, and starts anew when it holds MEMO entries."""
+    """A dict that makes what it lacks. It holds two generations of MEMO entries at most; what is in use stays."""
 
     def __init__(self, make: Callable[[object], object]):
         super().__init__()
         self.make = make
+        self.old: dict = {}
 
     def __missing__(self, key: object) -> object:
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
 class WordEncoder:
     """Ids of whole texts by a word vocabulary that drops white space; keep turns ids into what is kept, add joins that.
 
-    Two memos serve runs of ASCII non-space (chunks) and lowered pre-tokens (words); a chunk beyond _PLAIN, or with what
-    may be a special string, goes through the library whole.
+    Texts of _PLAIN characters are lowered and cut into pre-tokens here, and only new pre-tokens go to the library's
+    model. What lies beyond, or may be a special string, goes to the library's whole chain by runs of ASCII non-space.
     """
 
     def __init__(self, path: str, keep: Callable[[list[int]], object], add: Callable[[list], object]):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
+        self.tokenize = _bare_model(path).tokenize
         self.keep, self.add = keep, add
         self.letters = _byte_letters()
         self.words, self.chunks = _Memo(self._word), _Memo(self._chunk)
@@ -80,19 +100,20 @@ class WordEncoder:
 
     def _chunk(self, chunk: bytes) -> object:
         text = chunk.decode()
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            return self.keep(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        text = text.lower()
-        if text.isalpha():
-            return self.words[text]
-        return self.add(list(map(self.words.__getitem__, _PRE.findall(text))))
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return self.add(list(map(self.words.__getitem__, _PRE.findall(text.lower()))))
+        return self.keep(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _part(self, text: str) -> object:
+        if _PROSE.fullmatch(text) and not _RUN.search(text):
+            return self.add(list(map(self.words.__getitem__, text.lower().replace(".", " . ").replace(",", " , ").split())))
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return self.add(list(map(self.words.__getitem__, _PRE.findall(text.lower()))))
+        return self.add(list(map(self.chunks.__getitem__, text.encode().split())))
 
     def encode(self, text: str) -> object:
         """What is kept of the whole text."""
-        get = self.chunks.__getitem__
-        if len(text) <= LONG:
-            return self.add(list(map(get, text.encode().split())))
-        return self.add([self.add(list(map(get, part.encode().split()))) for part in split_long(text)])
+        return self._part(text) if len(text) <= LONG else self.add([self._part(x) for x in split_long(text)])
 
 
 def little_endian(ids: list[int]) -> bytes:
