@@ -7,7 +7,8 @@ coordinate with probability s. ROWS coordinates make a band, and documents that
 
 Candidate links are stars, never all pairs of a bucket: members are compared with the bucket's most connected member, by
 exact Jaccard similarity of the whole texts. Buckets that are still of several components take further centres, CENTRES
-at a time, until every member has been one or all are connected, so no link found by a band is lost. Copies are one node.
+times as many in each round, until every member has been one or all are connected, so no link found by a band is lost.
+Copies are one node.
 
 Defined results: a text of 1 to 4 words is one shingle of all of them; null and wordless texts are never duplicates, each
 is its own class; repeated rows are copies; null ids take part, and a class whose ids are all null has a null id; other
@@ -25,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _FOLD, cut, mix64, texts_of, written
+from .common import _FOLD, mix64, texts_of, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and the coordinates of each: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**24, 0.99993.
 BANDS, ROWS = 24, 5
-#: Centres that a bucket of several components takes in a round after the first.
+#: Growth of the number of centres that a bucket of several components takes, from round to round.
 CENTRES = 8
 #: Documents worked on at a time, at most 512: a shingle keeps 55 bits beside its document's number.
 RUN = 256
@@ -214,41 +215,43 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     exploded = nodes.select("content", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(exploded.join(shared, "band"))
+    members = written(exploded.join(shared, "band"), "members")
     popular = members.groupBy("content").agg(F.sum("size").alias("popularity"))
-    members = cut(members.select("band", "content").join(popular, "content"))
+    members = members.select("band", "content").join(popular, "content")
     texts = written(
-        docs.select(F.col(text).alias("text"), content(F.col(text)).alias("content")).where("content is not null").join(members.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text")),
+        docs.select(F.col(text).alias("text"), content(F.col(text)).alias("content")).where("content is not null").join(popular, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text")),
         "candidates",
     )
 
-    links = tested = None
-    waiting = members.withColumn("root", F.col("content"))
-    for turn in range(1 << 30):
-        order = Window.partitionBy("band").orderBy(F.desc("popularity"), "content")
-        if turn == 0:
+    # (content, root) of all nodes that have links; buckets that are still of several components, with their members
+    waiting, roots, n_centres = members.select("*", F.col("content").alias("root"), F.lit(False).alias("done")), None, 1
+    waiting = written(waiting, "buckets")
+    while True:
+        rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("popularity"), "content"))
+        if n_centres == 1:
             first = waiting.groupBy("band").agg(F.max_by(F.struct("content", "root"), F.struct("popularity", "content")).alias("c"))
             centres = first.select("band", F.col("c.content").alias("centre"), F.col("c.root").alias("centre_root"))
         else:
-            ranked = waiting.where("not done").withColumn("place", F.row_number().over(order)).where(F.col("place") <= CENTRES)
+            ranked = waiting.where("not done").withColumn("place", rank).where(F.col("place") <= n_centres)
             centres = ranked.select("band", F.col("content").alias("centre"), F.col("root").alias("centre_root"))
-        centres = cut(centres)
         pairs = waiting.join(centres, "band").where("root != centre_root").select(F.col("content").alias("node"), "centre").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["node", "centre"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty() and turn and centres.isEmpty():
-            break
-        found = cut(_verified(pairs, texts, least))
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        roots = cut(components(links, "node", "centre"))
-        labelled = (members if turn == 0 else waiting.drop("root")).join(roots.withColumnsRenamed({"node": "content"}), "content", "left").withColumn("root", F.coalesce("root", "content"))
+        found = _verified(pairs, texts, least)
+        if roots is not None:  # components of the components so far
+            found = found.join(roots.withColumnRenamed("root", "a"), "node", "left").join(roots.select(F.col("node").alias("centre"), F.col("root").alias("b")), "centre", "left")
+            found = found.select(F.coalesce("a", "node").alias("node"), F.coalesce("b", "centre").alias("centre"))
+        merged = components(found, "node", "centre")
+        if roots is None:
+            roots = merged
+        else:
+            news = merged.withColumnsRenamed({"node": "root", "root": "new"})
+            old = roots.join(news, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+            roots = written(old.union(merged.join(old, "node", "left_anti")), "roots")
+        labelled = waiting.drop("root").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
         mixed = labelled.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band")
         used = centres.select("band", F.col("centre").alias("content"), F.lit(True).alias("now"))
-        labelled = labelled.join(mixed, "band", "left_semi").join(used, ["band", "content"], "left")
-        done = F.coalesce("now", F.lit(False))
-        waiting = cut(labelled.withColumn("done", done if turn == 0 else F.col("done") | done).drop("now"))
+        waiting = labelled.join(mixed, "band", "left_semi").join(used, ["band", "content"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now")
+        waiting = written(waiting, "mixed")
+        n_centres *= CENTRES
         if waiting.where("not done").isEmpty():
             break
     nodes = nodes.drop("bands").join(roots.withColumnsRenamed({"node": "content"}), "content", "left").withColumn("root", F.coalesce("root", "content"))

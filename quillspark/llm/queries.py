@@ -49,6 +49,12 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal_data import find_personal_data
+
+    return find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "personal_data")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
