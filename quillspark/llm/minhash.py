@@ -33,7 +33,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and the coordinates of each: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**24, 0.99993.
 BANDS, ROWS = 24, 5
 #: Growth of the number of centres that a bucket of several components takes, from round to round.
-CENTRES = 8
+CENTRES = 32
 #: Documents worked on at a time, at most 512: a shingle keeps 55 bits beside its document's number.
 RUN = 256
 
@@ -243,7 +243,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         if roots is None:
             roots = merged
         else:
-            news = merged.withColumnsRenamed({"node": "root", "root": "new"})
+            news = merged.select(F.col("node").alias("root"), F.col("root").alias("new"))
             old = roots.join(news, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
             roots = written(old.union(merged.join(old, "node", "left_anti")), "roots")
         labelled = waiting.drop("root").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
