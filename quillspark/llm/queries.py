@@ -17,6 +17,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import fit, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
