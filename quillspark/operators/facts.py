@@ -31,9 +31,9 @@ def candidates(facts: DataFrame, reports: DataFrame, fields: DataFrame) -> DataF
 
 
 def _nearness() -> list:
-    """Order of matches: duration nearest the target (zero days count as on target), end nearest, filed first, input order."""
+    """Order of matches: duration nearest the target (zero days count as on target), end nearest, filed first, input order (then value)."""
     days = F.when(F.col("days").isNull() | (F.col("days") == 0), F.col("target")).otherwise(F.col("days"))
-    return [F.abs(days - F.col("target")), F.abs(F.datediff("end", "period_end")), F.col("filed"), F.col("ordinal")]
+    return [F.abs(days - F.col("target")), F.abs(F.datediff("end", "period_end")), F.col("filed"), F.col("ordinal"), F.col("num_value"), F.col("str_value")]
 
 
 def select_facts(found: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def select_facts(found: DataFrame) -> DataFrame:
     reach = F.col("_won").isNull() | (F.col("concept_ord") <= F.col("_won"))
     out = out.where(reach).withColumn("_chosen", F.coalesce(chosen, F.lit(False)))
     first = F.when(F.col("concept_ord") == F.col("_won"), 0).otherwise(1)
-    order = Window.partitionBy(*by, "_chosen").orderBy(first, "concept_ord", "ordinal")
+    order = Window.partitionBy(*by, "_chosen").orderBy(first, "concept_ord", "ordinal", "num_value", "str_value")
     out = out.withColumn("_rank", F.row_number().over(order)).where(F.col("_chosen") | (F.col("_rank") <= MAX_DISTRACTORS))
     other = F.when(~F.col("_chosen"), F.struct("_rank", F.struct(F.col("num_value").alias("num"), F.col("str_value").alias("str")).alias("value")))
     pick = lambda c: F.max(F.when(F.col("_chosen"), F.col(c))).alias(c)

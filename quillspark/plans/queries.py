@@ -144,12 +144,12 @@ def set_aside(spark: SparkSession, d: str) -> DataFrame:
 _CONCEPTS = ["NO", "AF", "RF"]
 _FACT_SQL = """select l_orderkey accession, l_linenumber ordinal, ci concept_ord, l_extendedprice num_value, ends, days, abs(days - 91) near, abs(date_diff('day', pe, ends)) off, filed,
   abs(date_diff('day', pe, ends)) <= 7 and days between 60 and 120 matched
-  from (select l.*, list_position(['NO', 'AF', 'RF'], l_returnflag || l_linestatus) - 1 ci, l_shipdate::date ends, (l_quantity * 3)::int days, l_shipdate::date + (l_partkey % 5)::int filed, o_orderdate::date + 60 pe
+  from (select l.*, list_position(['NO', 'AF', 'RF'], l_returnflag || l_linestatus) - 1 ci, l_shipdate::date ends, (l_quantity * 3)::int as days, l_shipdate::date + (l_partkey % 5)::int filed, o_orderdate::date + 60 pe
   from lineitem l join orders on o_orderkey = l_orderkey) where ci is not null"""
 _CHOSEN_SQL = f"""with f as ({_FACT_SQL}), w as (select *, min(case when matched then concept_ord end) over (partition by accession) won,
-  row_number() over (partition by accession, concept_ord, matched order by near, off, filed, ordinal) place from f),
+  row_number() over (partition by accession, concept_ord, matched order by near, off, filed, ordinal, num_value) place from f),
   c as (select *, coalesce(matched and concept_ord = won and place = 1, false) chosen from w where won is null or concept_ord <= won),
-  r as (select *, row_number() over (partition by accession, chosen order by case when concept_ord = won then 0 else 1 end, concept_ord, ordinal) k from c)"""
+  r as (select *, row_number() over (partition by accession, chosen order by case when concept_ord = won then 0 else 1 end, concept_ord, ordinal, num_value) k from c)"""
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +177,7 @@ def fact_distractors(spark: SparkSession, d: str) -> DataFrame:
     return facts.select_facts(_found(spark, d)).where(F.size("others") > 0).select("accession", F.size("others").cast("long").alias("n_others"), F.round(total, 2).alias("total"))
 
 
-@_query(f"with f as ({_FACT_SQL}) select accession, concept_ord::int concept_ord, ordinal from (select *, row_number() over (partition by accession, concept_ord order by near, off, filed, ordinal) i from f where matched) where i = 1")
+@_query(f"with f as ({_FACT_SQL}) select accession, concept_ord::int concept_ord, ordinal from (select *, row_number() over (partition by accession, concept_ord order by near, off, filed, ordinal, num_value) i from f where matched) where i = 1")
 def fact_period_matches(spark: SparkSession, d: str) -> DataFrame:
     """J20."""
     return facts.period_matches(_found(spark, d)).select("accession", F.col("concept_ord").cast("int").alias("concept_ord"), "ordinal")
@@ -423,12 +423,12 @@ def recost(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count("*").alias("calls"), F.sum("k").alias("tokens"), F.round(F.sum(usd), 2).alias("usd"))
 
 
-@_query("""select doc_id, len(v) n_numbers, round(coalesce(list_max(list_transform(v, lambda s: replace(s, ',', '')::double)), 0), 2) largest from (select doc_id, regexp_extract_all(text, '\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?') v from documents)""")
+@_query("""select doc_id, len(v) n_numbers, coalesce(list_max(list_transform(v, lambda s: replace(s, ',', '')::double)), 0) largest from (select doc_id, regexp_extract_all(text, '\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?') v from documents)""")
 def printed_numbers(spark: SparkSession, d: str) -> DataFrame:
     """C2, without the dash rule, which needs a lookahead."""
     found = F.regexp_extract_all("text", F.lit(text.NUMBER), F.lit(0))
     values = F.transform(found, lambda s: F.replace(s, F.lit(","), F.lit("")).cast("double"))
-    return table(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("n_numbers"), F.round(F.coalesce(F.array_max(values), F.lit(0.0)), 2).alias("largest"))
+    return table(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("n_numbers"), F.coalesce(F.array_max(values), F.lit(0.0)).alias("largest"))
 
 
 @_query("""select p_brand, arg_min(p_name, (p_retailprice, p_partkey)) cheapest, arg_min(p_name, (-p_size, p_partkey)) best from part group by 1""")
