@@ -95,7 +95,7 @@ def continuations(blocks: DataFrame, filing: str, section: str) -> DataFrame:
     long_before = lambda xs: F.exists(xs, lambda x: x["rows"].isNull() & (F.length(x["text"]) > HEADING_CHARS))
     at = F.array_position(F.transform(ahead, lambda x: x["rows"].isNotNull()), True)
     out = b.withColumn("_ahead", ahead).withColumn("_at", at.cast("int")).where("rows is not null and _at > 0")
-    out = out.where(~long_before(F.slice("_ahead", 1, F.col("_at")))).withColumn("_t", F.element_at("_ahead", F.col("_at")))
+    out = out.where(~long_before(F.slice("_ahead", 1, F.col("_at")))).withColumn("_t", F.get("_ahead", F.col("_at") - 1))
     labels = _labels(F.col("_t.rows"))
     titles = resolved_titles(statement_titles(_title_text(F.col("_t.heading"), F.col("_t.rows"))), labels, F.lit(section))
     fits = (F.array_contains(titles, section) | (F.size(titles) == 0)) & (_matched(section, labels) >= 2) & (numeric_cells(F.col("_t.rows")) >= LEAST_CELLS)
