@@ -6,9 +6,9 @@ and each of K coordinates keeps its earliest dart. Signatures of sets that share
 coordinate with probability s. ROWS coordinates make a band, and documents that share a band are candidates.
 
 Candidate links are stars, never all pairs of a bucket: members are compared with the bucket's most connected member, by
-exact Jaccard similarity of the whole texts. Buckets that are still of several components take further centres, CENTRES
-times as many in each round, until every member has been one or all are connected, so no link found by a band is lost.
-Copies are one node.
+exact Jaccard similarity of the whole texts. Members of buckets that are then still of several components are compared
+across components block by block, inside tasks that return links only, so no link found by a band is lost. Copies are one
+node.
 
 Defined results: a text of 1 to 4 words is one shingle of all of them; null and wordless texts are never duplicates, each
 is its own class; repeated rows are copies; null ids take part, and a class whose ids are all null has a null id; other
@@ -24,16 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import _FOLD, mix64, texts_of, written
-from .components import components
+from .components import FEW, components
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and the coordinates of each: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**24, 0.99993.
 BANDS, ROWS = 24, 5
-#: Growth of the number of centres that a bucket of several components takes, from round to round.
-CENTRES = 32
+#: Members and bytes of text to a block of a bucket whose components are compared.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Standard deviations that a signature's agreement may fall below the similarity before a pair isn't looked at.
+SLACK = 4.0
 #: Documents worked on at a time, at most 512: a shingle keeps 55 bits beside its document's number.
 RUN = 256
 
@@ -204,6 +205,58 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.where(similarity("_a", "_b") >= least).select("node", "centre")
 
 
+def _unlinked(members: DataFrame, texts: DataFrame, least: float, bands: int, width: int) -> DataFrame:
+    """The similar pairs (node, centre) of different components among the members (band, content, root) of a bucket.
+
+    Only buckets of several components are looked at. A bucket is dealt into blocks of at most BLOCK members and BLOCK_BYTES
+    of text, and each pair of blocks is compared in its own task: signatures first, then the whole texts of likely pairs, each
+    pair in the first band that it shares. Tasks return links only, never the pairs compared.
+    """
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int")
+    mixed = members.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band")
+    rows = written(members.join(mixed, "band", "left_semi").join(texts, "content"), "mixed")
+    rows = rows.join(rows.groupBy("band").agg(size.alias("n_blocks")), "band").withColumn("block", F.pmod(F.xxhash64("content"), F.col("n_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    rows = rows.select("band", "content", "root", "text", "block", other).select("band", "content", "root", "text", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        names, roots, block = group.column("content").to_pylist(), np.unique(group.column("root").to_pylist(), return_inverse=True)[1], group.column("block").to_numpy()
+        whole = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        held = group.column("text").to_pylist()
+        sets, sigs = [], []
+        for run in _runs(held):
+            doc, x, n = shingles(run)
+            ends = np.searchsorted(doc, np.arange(len(run) + 1))
+            sets += [x[ends[k] : ends[k + 1]] for k in range(len(run))]
+            sigs.append(signatures(doc, x, np.ones(len(n)), len(run), bands * width))
+        sig = np.concatenate(sigs)
+        hashes = band_hashes(sig, bands, width)
+        here = int(np.flatnonzero((hashes == group.column("band")[0].as_py()).all(axis=0))[0]) if len(hashes) else 0
+        near = max(0.0, least - SLACK * math.sqrt(least * (1 - least) / (bands * width))) * bands * width
+        out: tuple[list[bytes], list[bytes]] = ([], [])
+        for k in range(len(names) - 1):
+            rest = np.arange(k + 1, len(names))
+            rest = rest[(roots[rest] != roots[k]) & ((block[rest] != block[k]) | whole)]
+            rest = rest[~(hashes[rest, :here] == hashes[k, :here]).any(axis=1)]
+            rest = rest[(sig[rest] == sig[k]).sum(axis=1) >= near]
+            for m in rest.tolist():
+                both = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
+                if both >= least * (len(sets[k]) + len(sets[m]) - both):
+                    out[0].append(names[k])
+                    out[1].append(names[m])
+        return pa.table({"node": pa.array(out[0], pa.binary()), "centre": pa.array(out[1], pa.binary())})
+
+    return rows.groupBy("band", "i", "j").applyInArrow(compare, "node binary, centre binary")
+
+
+def _beside(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """rows with column replaced by its root, where it has one. Roots are broadcast up to a counted bound of FEW rows."""
+    table = roots.select(F.col("node").alias(column), F.col("root").alias("_new"))
+    if roots.count() <= FEW:
+        table = F.broadcast(table)
+    return rows.join(table, column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new").select(rows.columns)
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, bands: int = BANDS, width: int = ROWS, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): key and content of each row, and for each distinct content its first key, its copies, how many rows
     have that first key, and the content and key that stand for its class."""
@@ -217,44 +270,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     shared = exploded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = written(exploded.join(shared, "band"), "members")
     popular = members.groupBy("content").agg(F.sum("size").alias("popularity"))
-    members = members.select("band", "content").join(popular, "content")
     texts = written(
         docs.select(F.col(text).alias("text"), content(F.col(text)).alias("content")).where("content is not null").join(popular, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text")),
         "candidates",
     )
 
-    # (content, root) of all nodes that have links; buckets that are still of several components, with their members
-    waiting, roots, n_centres = members.select("*", F.col("content").alias("root"), F.lit(False).alias("done")), None, 1
-    waiting = written(waiting, "buckets")
-    while True:
-        rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("popularity"), "content"))
-        if n_centres == 1:
-            first = waiting.groupBy("band").agg(F.max_by(F.struct("content", "root"), F.struct("popularity", "content")).alias("c"))
-            centres = first.select("band", F.col("c.content").alias("centre"), F.col("c.root").alias("centre_root"))
-        else:
-            ranked = waiting.where("not done").withColumn("place", rank).where(F.col("place") <= n_centres)
-            centres = ranked.select("band", F.col("content").alias("centre"), F.col("root").alias("centre_root"))
-        pairs = waiting.join(centres, "band").where("root != centre_root").select(F.col("content").alias("node"), "centre").distinct()
-        found = _verified(pairs, texts, least)
-        if roots is not None:  # components of the components so far
-            found = found.join(roots.withColumnRenamed("root", "a"), "node", "left").join(roots.select(F.col("node").alias("centre"), F.col("root").alias("b")), "centre", "left")
-            found = found.select(F.coalesce("a", "node").alias("node"), F.coalesce("b", "centre").alias("centre"))
-        merged = components(found, "node", "centre")
-        if roots is None:
-            roots = merged
-        else:
-            news = merged.select(F.col("node").alias("root"), F.col("root").alias("new"))
-            old = roots.join(news, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-            roots = written(old.union(merged.join(old, "node", "left_anti")), "roots")
-        labelled = waiting.drop("root").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-        mixed = labelled.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band")
-        used = centres.select("band", F.col("centre").alias("content"), F.lit(True).alias("now"))
-        waiting = labelled.join(mixed, "band", "left_semi").join(used, ["band", "content"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now")
-        waiting = written(waiting, "mixed")
-        n_centres *= CENTRES
-        if waiting.where("not done").isEmpty():
-            break
-    nodes = nodes.drop("bands").join(roots.withColumnsRenamed({"node": "content"}), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    ranked = members.select("band", "content").join(popular, "content")
+    centres = ranked.groupBy("band").agg(F.max_by("content", F.struct("popularity", "content")).alias("centre"))
+    pairs = ranked.join(centres, "band").where("content != centre").select(F.col("content").alias("node"), "centre").distinct()
+    roots = written(components(_verified(pairs, texts, least), "node", "centre"), "roots")
+    found = _unlinked(_beside(members.select("band", "content", F.col("content").alias("root")), roots, "root"), texts, least, bands, width)
+    merged = written(components(_beside(_beside(found, roots, "node"), roots, "centre"), "node", "centre"), "merged")
+    if not merged.isEmpty():
+        old = _beside(roots, merged, "root")
+        roots = written(old.union(merged.join(old, "node", "left_anti")), "roots")
+    nodes = _beside(nodes.drop("bands").withColumn("root", F.col("content")), roots, "root")
     heads = nodes.groupBy("root").agg(F.min(F.struct("least.rank", "content")).alias("head"))
     heads = heads.select("root", F.col("head.content").alias("head"), F.col("head.rank.key").alias("class_id"))
     return rows.select("key", "content"), nodes.join(heads, "root").select("content", F.col("least.rank.key").alias("first_key"), F.col("least.n").alias("first_rows"), "copies", "head", "class_id")
