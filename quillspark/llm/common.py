@@ -59,6 +59,16 @@ def with_results(df: DataFrame, struct: Column, names: list[str]) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], *[F.col(f"{tmp}.{n}").alias(n) for n in names])
 
 
+def held(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs as one struct column _row beside the given columns, so that no names clash; restored() undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def restored(found: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns held in _row, with new ones in place of some."""
+    return found.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in columns])
+
+
 def folded_words(text: str | None) -> list[bytes]:
     """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a text after A-Z are lowered, as UTF-8."""
     return text.encode().translate(_FOLD).split() if text else []

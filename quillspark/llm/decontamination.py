@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded_words, fresh, mix64, texts_of, with_results, written
+from .common import folded_words, fresh, held, mix64, restored, texts_of, with_results, written
 
 BLOCK = 16 << 20
 _SCAN = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
@@ -175,8 +175,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how: object) -> DataFrame:
     """docs without the contaminated ones, columns as they were."""
-    keep = find_contamination(docs.select(F.struct("*").alias("_row"), F.col(str(how.pop("text", "text"))).alias("_text")), benchmark, text="_text", **how)  # type: ignore[arg-type]
-    return keep.where(~F.col("contaminated")).select("_row.*")
+    keep = find_contamination(held(docs, _text=F.col(str(how.pop("text", "text")))), benchmark, text="_text", **how)  # type: ignore[arg-type]
+    return restored(keep.where(~F.col("contaminated")), docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how: object) -> DataFrame:
@@ -195,5 +195,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **ho
             out.append(t)
         return pa.array(out, pa.string())
 
-    found = find_contamination(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), benchmark, text="_text", **how)  # type: ignore[arg-type]
-    return found.select("_row.*", without("_text", "hit_ranges").alias("_text")).withColumn(text, F.col("_text")).drop("_text")
+    found = find_contamination(held(docs, _text=F.col(text)), benchmark, text="_text", **how)  # type: ignore[arg-type]
+    return restored(found, docs.columns, **{text: without("_text", "hit_ranges")})

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, mix64, texts_of, written
+from .common import _FOLD, held, mix64, restored, texts_of, written
 from .components import FEW, components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -300,10 +300,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: ob
     """docs with one row of each class, columns as they were: the row of least key, which is whole even where rows repeat."""
     _, nodes = classes(docs, key, text, **how)  # type: ignore[arg-type]
     nodes = written(nodes.where("copies > 1 or head != content"), "classes")
-    keyed = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), content(F.col(text)).alias("content"))
+    keyed = held(docs, key=F.col(key), content=content(F.col(text)))
     out = keyed.join(nodes, "content", "left").where(F.col("head").isNull() | ((F.col("head") == F.col("content")) & F.col("key").eqNullSafe(F.col("first_key"))))
     if not nodes.where("head = content and first_rows > 1").isEmpty():
         again = F.col("head").isNotNull() & (F.col("first_rows") > 1)
-        once = out.where(again).groupBy("content").agg(F.first("row").alias("row"))
-        out = out.where(~F.coalesce(again, F.lit(False))).select("content", "row").union(once)
-    return out.select("row.*")
+        once = out.where(again).groupBy("content").agg(F.first("_row").alias("_row"))
+        out = out.where(~F.coalesce(again, F.lit(False))).select("content", "_row").union(once)
+    return restored(out, docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import fresh, with_results
+from .common import fresh, held, restored, with_results
 
 KINDS = ("email", "ip", "card", "phone")
 #: Written examples that the trees are fitted and calibrated on, and the precision that thresholds are set for.
@@ -203,7 +203,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", seed: int = 10) -> D
 
 def redact_personal_data(docs: DataFrame, text: str = "text", seed: int = 10) -> DataFrame:
     """docs with every found span of the text column replaced by its kind in angle brackets; columns as they were."""
-    found = find_personal_data(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text", seed)
+    found = find_personal_data(held(docs, _text=F.col(text)), "_text", seed)
     t, spans = F.col("_text"), F.array_sort(F.col("personal_data"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -212,4 +212,4 @@ def redact_personal_data(docs: DataFrame, text: str = "text", seed: int = 10) ->
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1)))
-    return found.select("_row.*", F.when(F.size("personal_data") > 0, clean).otherwise(t).alias("_text")).withColumn(text, F.col("_text")).drop("_text")
+    return restored(found, docs.columns, **{text: F.when(F.size("personal_data") > 0, clean).otherwise(t)})

@@ -8,8 +8,8 @@ Rows whose crc32(id as text) mod HELD is 0 are held out and never learned from;
 no inputs of a score.
 
 Defined results: null and empty texts have zero statistics and get that score; a null id is not held out; repeated rows
-each get their row; without labels of both kinds every score is the training rate (0.5 without labels); an empty table
-gives an empty result.
+each get their row; with fewer than LEAST_LABELS labels of a kind every score is the training rate (0.5 without labels); an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .common import crc_bucket, fresh, with_results
 #: Labelled rows that the model is fitted on at most: those of least hash.
 SAMPLE = 12_000
 HELD, THRESHOLD = 5, 0.3
+#: Labels of each kind that rules need.
+LEAST_LABELS = 5
 TREES, DEPTH, PENALTIES = 40, 3, (0.02, 0.01, 0.005, 0.002, 0.001, 0.0005)
 
 STATISTICS = ["log_chars", "log_words", "word_length", "distinct_share", "upper_share", "digit_share", "symbol_share", "mark_share", "stop_share", "line_words", "repeat_lines", "longest_word", "adjacent_share"]
@@ -117,7 +119,7 @@ def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarr
 
 def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 2) -> RuleModel:
     """The rule ensemble of labelled statistics; the penalty is the largest within 1 % of the best validation loss."""
-    if len(y) == 0 or y.min() == y.max():
+    if min((y == 0).sum(), (y == 1).sum()) < LEAST_LABELS:
         rate = (y.sum() + 0.5) / (len(y) + 1)
         return RuleModel(float(np.log(rate / (1 - rate))), [], [])
     rng = np.random.default_rng(seed)
