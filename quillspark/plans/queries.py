@@ -470,3 +470,52 @@ def content_digests(spark: SparkSession, d: str) -> DataFrame:
 def company_fraction(spark: SparkSession, d: str) -> DataFrame:
     """blake2b, which SQL lacks; tests hold it against hashlib."""
     return table(spark, d, "customer").select("c_custkey", hashing.blake2b_fraction(20270405, F.col("c_custkey")).alias("fraction"))
+
+
+@_query()
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """SQL has no HTML parser; tests hold it against small pages."""
+    from ..sources.markup import blocks
+
+    return blocks(table(spark, d, "pages").select("page_id", "html")).select("page_id", "idx", F.coalesce("text", F.array_join(F.transform("rows", lambda r: F.array_join(r, " | ")), "\n")).alias("shown"))
+
+
+@_query()
+def stream_latest_wins(spark: SparkSession, d: str) -> DataFrame:
+    """The event log as a file stream, run to its end; tests hold it against the batch form."""
+    import uuid
+
+    from ..streaming import logs
+
+    base = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/checkpoints').rstrip('/')}/latest-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    query = logs.latest_by_key(logs.read_log(spark, d, schema, names="events.parquet"), "user_id", "event_id", f"{base}/out", f"{base}/state", f"latest_{uuid.uuid4().hex}")
+    return logs.read_latest(spark, f"{base}/out", query).select("user_id", "event_id", "event_type")
+
+
+@_query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2")
+def windowed_events(spark: SparkSession, d: str) -> DataFrame:
+    """An extension: tumbling windows, batch or stream."""
+    from ..streaming import logs
+
+    events = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    out = logs.windowed(events, "t", ["event_type"], "value", "1 hour")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@_query("select doc_id, line_no, section, offs as \"offset\" from (select doc_id, line_no, coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint offs, last_value(nullif(regexp_extract(line, '^([A-Z]{3,})', 1), '') ignore nulls) over (partition by doc_id order by line_no) section from (select doc_id, unnest(range(len(l)))::int line_no, unnest(l) line from (select doc_id, string_split(text, chr(10)) l from documents)))")
+def lines_with_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """W14."""
+    from ..operators.statements import lines_with_sections
+
+    out = lines_with_sections(table(spark, d, "documents"), "doc_id", "text", "^([A-Z]{3,})")
+    return out.select("doc_id", "line_no", "section", F.col("offset").cast("long").alias("offset"))
+
+
+@_query("select s_suppkey, (regexp_extract(v, '^(.+?)-(gguf-q4_k_m|gguf-q8_0|bf16|awq)$', 1)) run, regexp_extract(v, '^(.+?)-(gguf-q4_k_m|gguf-q8_0|bf16|awq)$', 2) format from (select s_suppkey, s_suppkey % 7 || 'b-r64-s' || s_suppkey || '-' || (['bf16', 'gguf-q4_k_m', 'awq'])[(s_suppkey % 3 + 1)::int] v from supplier)")
+def served_names(spark: SparkSession, d: str) -> DataFrame:
+    """C27, F14."""
+    forms = F.element_at(F.array(F.lit("bf16"), F.lit("gguf-q4_k_m"), F.lit("awq")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    name = text.served_name(F.concat((F.col("s_suppkey") % 7).cast("string"), F.lit("b-r64-s"), F.col("s_suppkey").cast("string")), forms)
+    parsed = text.parse_served_name(name, ["bf16", "awq", "gguf-q4_k_m", "gguf-q8_0"])
+    return table(spark, d, "supplier").select("s_suppkey", parsed.alias("p")).select("s_suppkey", "p.run", "p.format")

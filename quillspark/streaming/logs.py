@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_log(spark: SparkSession, path: str, schema: object, files_per_trigger: int = 1000, form: str = "parquet") -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(form).load(path)
+def read_log(spark: SparkSession, path: str, schema: object, files_per_trigger: int = 1000, form: str = "parquet", names: str = "*") -> DataFrame:
+    """The files of a log directory, those of the given names, as a stream."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", names).format(form).load(path)
 
 
 def latest_by_key(log: DataFrame, key: str, order: str, out: str, checkpoint: str, name: str = "latest") -> object:
