@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import accession_of
 
-#: A row read from the right: fixed shapes at the end, the form up to a double space, the company between.
+# Fixed value: a row's format, read from the right: fixed shapes at the end, the form up to a double space, the company between.
 INDEX_ROW = r"^(\S(?:\S| (?! ))*)\s{2,}(.*?)\s+(\d+)\s+(\d{4}-\d{2}-\d{2})\s+(edgar/\S+)\s*$"
 FACTS = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StructType([T.StructField("units", T.MapType(T.StringType(), T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("start", "end", "val", "accn", "form", "filed")]))))])))
 HISTORY = "recent struct<accessionNumber:array<string>,primaryDocument:array<string>>, files array<struct<name:string,filingTo:string>>"

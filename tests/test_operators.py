@@ -191,17 +191,17 @@ def test_pareto_keeps_equal_points(spark):
 
 
 INDEX = """Form Type   Company Name
----------------------------------------------------------------------------------------------------------------------------------------------
-1                Dream Exchange Holdings, Inc.                                 2057750     2025-02-14  edgar/data/2057750/9999999997-25-000550.txt
-10-Q             1 800 FLOWERS COM INC                                         1084869     2025-01-31  edgar/data/1084869/0001437749-25-002365.txt
-SC 13G/A         BETA  CORP, LLC /NY/                                          789019      2025-02-10  edgar/data/789019/0000789019-25-000011.txt"""
+------------------------------------------------------------------------------------------------------------------------
+1                Northern Lantern Holdings, Inc.                               2000001     2025-03-14  edgar/data/2000001/9999999999-25-000001.txt
+10-Q             1 900 PARCELS CO                                              1000002     2025-01-30  edgar/data/1000002/0001000002-25-000012.txt
+SC 13G/A         GAMMA  WORKS, LLC /DE/                                        700003      2025-02-11  edgar/data/700003/0000700003-25-000007.txt"""
 
 
 def test_form_index(spark, tmp_path):
     (tmp_path / "form.idx").write_text(INDEX)
     rows = filings.read_form_index(spark, str(tmp_path)).collect()
-    assert [(r.form, r.company, r.cik, str(r.filed)) for r in rows] == [("1", "Dream Exchange Holdings, Inc.", 2057750, "2025-02-14"), ("10-Q", "1 800 FLOWERS COM INC", 1084869, "2025-01-31"), ("SC 13G/A", "BETA  CORP, LLC /NY/", 789019, "2025-02-10")]
-    assert rows[1].accession == "0001437749-25-002365"
+    assert [(r.form, r.company, r.cik, str(r.filed)) for r in rows] == [("1", "Northern Lantern Holdings, Inc.", 2000001, "2025-03-14"), ("10-Q", "1 900 PARCELS CO", 1000002, "2025-01-30"), ("SC 13G/A", "GAMMA  WORKS, LLC /DE/", 700003, "2025-02-11")]
+    assert rows[1].accession == "0001000002-25-000012"
     with pytest.raises(ValueError):
         filings.form_index(spark.createDataFrame([("nothing",)], "value string"))
 
