@@ -14,7 +14,7 @@ import hashlib
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded_words, fresh, held, mix64, restored, texts_of, with_results, written
+from .common import by_bytes, folded_words, fresh, held, mix64, restored, texts_of, with_results, written
 
 BLOCK = 16 << 20
 _SCAN = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
@@ -58,7 +58,7 @@ class Index:
         bounds = np.cumsum([0, *(len(owners[i]) for i in order)])
         return hashes[order], rows[order], factors, bounds, np.array([k for i in order for k in sorted(owners[i])], dtype=np.int64)
 
-    def scan(self, texts: list[str | None]) -> list[dict]:
+    def scan(self, texts: Sequence[str | None]) -> list[dict]:
         words = [folded_words(t) for t in texts]
         n_words = np.array([len(w) for w in words], dtype=np.int64)
         starts = np.zeros(len(words) + 1, dtype=np.int64)
@@ -118,8 +118,8 @@ def _scan(text: Column, block: Any, n: int) -> Column:
         index = _INDEXES[name]
         for column in batches:
             out = []
-            for i in range(0, len(column), 500):
-                out += index.scan(texts_of(column.slice(i, 500)))
+            for _, run in by_bytes(texts_of(column), 1 << 20):
+                out += index.scan(run)
             yield pa.array(out, _SCAN)
 
     return scan(text)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, texts_of, vocabulary_path, written
+from .common import by_bytes, crc_bucket, texts_of, vocabulary_path, written
 
 FREQUENT, ROUNDS = 300_000, 3
 #: Lengths above which a word's lattice is walked alone, and words of one length that are walked at a time.
@@ -256,9 +256,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_f
         last = known.shape[1] - 1
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                found = [tokens(t) for t in texts_of(part.column(2))]
+            for a, run in by_bytes(texts_of(batch.column(2)), 2 << 20):
+                part = batch.slice(a, len(run))
+                found = [tokens(t) for t in run]
                 sizes = np.array([len(w) for w in found], dtype=np.int64)
                 at = np.fromiter((i for w in found for i in map(place.get, w, itertools.repeat(last))), dtype=np.int64, count=int(sizes.sum()))
                 bounds = np.concatenate([[0], np.cumsum(sizes)])

@@ -46,7 +46,7 @@ _LUT = np.frombuffer(_FOLD, dtype=np.uint8)
 _DARTS = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(18)])
 
 
-def _runs(texts: list[str | None], most: int = 8 << 20) -> Iterator[list[str | None]]:
+def _runs(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str | None]]:
     run: list[str | None] = []
     size = 0
     for t in texts:
