@@ -176,6 +176,29 @@ def test_quality_rules_keep_clean_documents(spark):
     assert sum(good) / len(good) > 0.9 and sum(bad) / len(bad) < 0.5
 
 
+def test_copies_do_not_narrow_a_band(spark):
+    """Two thirds of a language's rows are one text of middling perplexity; the others keep the band that they have alone."""
+    alone = [(i, "de", 0.8 + 0.01 * math.sin(i), False, 10**6) for i in range(300)]
+    copies = [(-1, "de", 0.8, False, 10**6)] * 600
+    schema = "_content bigint, lang string, log_perplexity double, base_failed boolean, n_grams bigint"
+    scored = spark.createDataFrame(alone + copies, schema)
+    assert scored.where(quality_rules.in_band(quality_rules.fit_bands(scored))).count() == 900
+
+
+@pytest.mark.parametrize("most", [quality_rules.COPIED, 0])
+def test_copies_take_no_document_with_them(spark, monkeypatch, most):
+    """Five of six rows of a language are one clean text; it and the other texts stay."""
+    monkeypatch.setattr(quality_rules, "COPIED", most)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    of = [r for r in docs.where("lang = 'de'").orderBy("doc_id").collect() if len(r.text.split()) >= 20]
+    one = of[len(of) // 2]
+    copies = spark.createDataFrame([(10**9 + i, one.text, "de", one.source, one.n_chars) for i in range(5 * len(of))], docs.schema)
+    found = quality_rules.judge(docs.unionByName(copies)).where("lang = 'de' and not base_failed").collect()
+    assert all(r.kept for r in found if r.doc_id >= 10**9)
+    rest = [r.kept for r in found if r.doc_id < 10**9]
+    assert sum(rest) >= 0.98 * len(rest) > 100
+
+
 def test_lattice_equals_the_sum_over_segmentations():
     pieces = [b" ", b"a", b"b", b"ab", b" a", b"ba", b"aba"]
     lw = np.log(np.array([0.1, 0.2, 0.1, 0.2, 0.1, 0.1, 0.2]))
