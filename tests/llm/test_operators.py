@@ -182,7 +182,7 @@ def test_copies_do_not_narrow_a_band(spark):
     copies = [(-1, "de", 0.8, False, 10**6)] * 600
     schema = "_content bigint, lang string, log_perplexity double, base_failed boolean, n_grams bigint"
     scored = spark.createDataFrame(alone + copies, schema)
-    assert scored.where(quality_rules.in_band(quality_rules.fit_bands(scored))).count() == 900
+    assert quality_rules.with_kept(scored, quality_rules.fit_bands(scored)).where("kept").count() == 900
 
 
 @pytest.mark.parametrize("most", [quality_rules.COPIED, 0])
@@ -199,6 +199,17 @@ def test_copies_take_no_document_with_them(spark, monkeypatch, most):
     assert sum(rest) >= 0.98 * len(rest) > 100
 
 
+@pytest.mark.parametrize(("few", "most"), [(1, quality_rules.MOST_BANDS), (5, 0)])
+def test_a_rare_language_is_not_judged_by_another(spark, monkeypatch, few, most):
+    monkeypatch.setattr(quality_rules, "MOST_BANDS", most)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
+    rare = docs.where("lang = 'es' and size(split(text, ' ')) > 20").join(good, "doc_id", "left_semi").orderBy("doc_id").limit(few)
+    given = docs.where("lang <> 'es'").unionByName(rare).unionByName(rare.limit(1).selectExpr("-1l doc_id", "text", "cast(null as string) lang", "source", "n_chars"))
+    found = quality_rules.judge(given).where("lang = 'es' or lang is null").collect()
+    assert len(found) == few + 1 and all(r.kept for r in found)
+
+
 def test_lattice_equals_the_sum_over_segmentations():
     pieces = [b" ", b"a", b"b", b"ab", b" a", b"ba", b"aba"]
     lw = np.log(np.array([0.1, 0.2, 0.1, 0.2, 0.1, 0.1, 0.2]))
