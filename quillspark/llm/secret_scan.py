@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
-A text is the first layer. Each layer is searched for secrets and for encoded runs (URL and Unicode escapes, HTML character
-references, base64, hexadecimal, and gzip, zlib, bzip2 or xz data inside those); what they decode to are further layers, until
-nothing new appears. A layer that was seen before isn't taken again, so cycles end. Every character of a layer knows the
+A text is the first layer. Each layer is searched for secrets. With all its escapes resolved (URL and Unicode escapes, HTML
+character references) the whole layer is the next one; its encoded runs (base64, hexadecimal, and gzip, zlib, bzip2 or xz data
+inside those) decode to further layers, until nothing new appears. A layer that was seen before isn't taken again, so cycles end. Every character of a layer knows the
 characters of the text that it came from, so finds in any layer are spans of the text.
 
 Defined results: null is empty and has no spans; repeated rows each get their row; equal spans count once; input columns
@@ -38,7 +38,6 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_ESCAPED_RUN = re.compile(r"[^\x20\x09-\x0D]+(?:\x20?[:=]\x20?[^\x20\x09-\x0D]+)?")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
 
@@ -116,78 +115,80 @@ def _bytes_layer(data: bytes, place: list[tuple[int, int]]) -> Layer | None:
     return Layer(text, starts, ends)
 
 
-def _unescaped(layer: Layer, a: int, b: int) -> Layer | None:
-    """The run from a to b with its escapes resolved; successive byte escapes make UTF-8 characters."""
-    data, spans, at = [], [], a
+def _unescaped(layer: Layer) -> Layer | None:
+    """The whole layer with its escapes resolved in one pass; successive byte escapes make UTF-8 characters."""
+    text, at = layer.text, 0
+    data, spans = [], []
     out, starts, ends = [], [], []
 
     def flush() -> None:
         nonlocal data, spans
         raw = bytes(data)
-        text = raw.decode("utf-8", "replace") if raw else ""
-        if "�" in text:
-            text = raw.decode("latin-1")
-            places = spans
+        decoded = raw.decode("utf-8", "replace")
+        if "\ufffd" in decoded:
+            decoded, places = raw.decode("latin-1"), spans
         else:
             places, k = [], 0
-            for c in text:
+            for c in decoded:
                 n = len(c.encode())
                 places.append((spans[k][0], spans[k + n - 1][1]))
                 k += n
-        for c, (s, e) in zip(text, places, strict=True):
-            out.append(c)
-            starts.append(s)
-            ends.append(e)
+        out.append(decoded)
+        starts.extend(s for s, _ in places)
+        ends.extend(e for _, e in places)
         data, spans = [], []
 
+    def copy(a: int, b: int) -> None:
+        out.append(text[a:b])
+        starts.extend(range(a, b) if layer.starts is None else layer.starts[a:b])
+        ends.extend(range(a + 1, b + 1) if layer.ends is None else layer.ends[a:b])
+
     found = False
-    while at < b:
-        m = _ESCAPE.match(layer.text, at, b)
-        if m is None:
+    for m in _ESCAPE.finditer(text):
+        if data and m.start() > at:
             flush()
-            s, e = layer.span(at, at + 1)
-            out.append(layer.text[at])
-            starts.append(s)
-            ends.append(e)
-            at += 1
-            continue
+        copy(at, m.start())
+        at = m.end()
         code, span = m[0], layer.span(m.start(), m.end())
         if code[0] == "%" or code[:2] == "\\x":
             data.append(int(code[-2:], 16))
             spans.append(span)
             found = True
-        else:
+            continue
+        if data:
             flush()
-            digits = code[2:].strip("{};")
-            value = int(digits[1:], 16) if digits[:1] in "xX" else int(digits, 10 if code[0] == "&" else 16)
-            if value < 0x110000 and not 0xD800 <= value < 0xE000:
-                out.append(chr(value))
-                starts.append(span[0])
-                ends.append(span[1])
-                found = True
-            else:
-                for i in range(m.start(), m.end()):
-                    s, e = layer.span(i, i + 1)
-                    out.append(layer.text[i])
-                    starts.append(s)
-                    ends.append(e)
-        at = m.end()
-    flush()
+        digits = code[2:].strip("{};")
+        value = int(digits[1:], 16) if digits[:1] in "xX" else int(digits, 10 if code[0] == "&" else 16)
+        if value < 0x110000 and not 0xD800 <= value < 0xE000:
+            out.append(chr(value))
+            starts.append(span[0])
+            ends.append(span[1])
+            found = True
+        else:
+            copy(m.start(), m.end())
+    if data:
+        flush()
+    copy(at, len(text))
     return Layer("".join(out), starts, ends) if found else None
 
 
-def _decoded(layer: Layer) -> Iterator[Layer]:
-    """The layers that the encoded runs of a layer open to."""
+def _decoded(layer: Layer, done: set[tuple[str, str, int, int]]) -> Iterator[Layer]:
+    """The layers that a layer opens to: itself without escapes, and its encoded runs but those in done, which grows."""
     text = layer.text
-    if ("%" in text or "\\" in text or "&#" in text) and _ESCAPE.search(text):
-        for m in _ESCAPED_RUN.finditer(text):
-            if _ESCAPE.search(m[0]) and (inner := _unescaped(layer, m.start(), m.end())):
-                yield inner
+    if ("%" in text or "\\" in text or "&#" in text) and (inner := _unescaped(layer)):
+        yield inner
+
+    def fresh(m: re.Match[str]) -> bool:  # a run may be both kinds
+        key = (m.re.pattern, m[0], *layer.span(m.start(), m.end()))
+        new = key not in done
+        done.add(key)
+        return new
+
     if not any(len(w) >= 16 and not (w.isalpha() and w[1:].islower()) for w in text.split()):
         return
     for m in _BASE64.finditer(text):
         body = m[0].rstrip("=")
-        if len(body) % 4 == 1 or body.isalpha() and body[1:].islower():
+        if len(body) % 4 == 1 or body.isalpha() and body[1:].islower() or not fresh(m):
             continue
         try:
             data = base64.b64decode(body.translate({0x2D: "+", 0x5F: "/"}) + "=" * (-len(body) % 4), validate=True)
@@ -200,6 +201,8 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
             if inner := _bytes_layer(data, place):
                 yield inner
     for m in _HEX_RUN.finditer(text):
+        if not fresh(m):
+            continue
         data = bytes.fromhex(m[0])
         if _opened(data) is not None or _readable(data):
             a = m.start()
@@ -210,9 +213,9 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
 def spans(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """(base, all) spans of a text as (start, kind, end): those of the text itself, and with those of every inner layer."""
     base = find(text)
-    every, seen, work = set(base), {text}, [Layer(text)]
+    every, seen, work, done = set(base), {text}, [Layer(text)], set()
     while work:
-        for inner in _decoded(work.pop()):
+        for inner in _decoded(work.pop(), done):
             place = (inner.text, inner.starts[0], inner.ends[-1]) if inner.starts and inner.ends else inner.text
             if place in seen or inner.text == text:
                 continue

@@ -267,6 +267,16 @@ def test_hidden_secrets_are_found_where_they_stand(hidden):
     assert (5, "assign", 5 + len(hidden)) in every and set(base) <= set(every)
 
 
+@pytest.mark.parametrize(
+    "hidden",
+    [r"\u0022password\u0022: \u0022hunter2xyz", "password&#58; abc123def456", "password%3D hunter2xyz", "api_key %3D   hunter2xyz", "%70assword = hunter2xyz", "p%2561ssword  %3A  %2568unter2xyz"],
+)
+def test_secrets_whose_name_and_value_stand_apart(hidden):
+    text = f"50% é of %41 {hidden} and \\x41 tail"
+    name = hidden.index("api_key") if "api_key" in hidden else 6 if hidden[0] == "\\" else 0
+    assert (13 + name, "assign", 13 + len(hidden)) in secret_scan.spans(text)[1]
+
+
 def test_secret_base_and_cycles(docs):
     rx = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     for t in docs.values():
