@@ -6,8 +6,9 @@ inside those) decode to further layers, until nothing new appears. A layer that
 characters of the text that it came from, so finds in any layer are spans of the text.
 
 Defined results: null is empty and has no spans; repeated rows each get their row; equal spans count once; input columns
-named like a result give way to it; empty tables give an empty result. Compressed data that opens to more than OPENED bytes
-is not opened; nothing else is bounded.
+named like a result give way to it; empty tables give an empty result. Compressed data are opened
+as a stream whatever their size, and one secret or encoded run in them may be cut only where more than OVERLAP bytes of it stand
+in OPENED bytes without a line break or other place to cut.
 """
 
 from __future__ import annotations
@@ -15,12 +16,16 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import functools
 import hashlib
+import itertools
 import lzma
 import re
+import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,7 +34,10 @@ from pyspark.sql import functions as F
 from .common import texts_of, with_results
 
 KINDS = ("assign", "access", "hex")
-OPENED = 16 << 20
+#: Compressed data are opened and searched in pieces of about PIECE bytes. A piece grows up to OPENED bytes while it has no
+#: place to cut; then neighbours share OVERLAP bytes. Compressed data are told by their first HEAD bytes.
+PIECE, OPENED, OVERLAP, HEAD = 1 << 20, 16 << 20, 4 << 20, 1 << 16
+_BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
 
 # The three secret formats.
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -38,23 +46,39 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+#: The bytes of secrets, escapes and encoded runs, and a text that is long enough for the shortest secret, token=abcdef.
+_INNER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\{}&#;"
+_ASCII = re.compile(rb"[\x20-\x7E]{12}")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
 
 
 @dataclass
 class Layer:
-    """A text and, for each of its characters, the span of the original text that it came from (None: itself)."""
+    """A text and, for each of its characters, the span of the original text that it came from (None: itself), or the one span
+    that all of them came from."""
 
     text: str
     starts: list[int] | None = None
     ends: list[int] | None = None
+    whole: tuple[int, int] | None = None
 
     def span(self, a: int, b: int) -> tuple[int, int]:
+        if self.whole is not None:
+            return self.whole
         if self.starts is None or self.ends is None:
             return a, b
         return min(self.starts[a:b]), max(self.ends[a:b])
 
+    def key(self) -> tuple[bytes, int, int]:
+        if self.whole is not None or not self.starts or not self.ends:
+            return _digest(self.text), *(self.whole or (0, 0))
+        return _digest(self.text), self.starts[0], self.ends[-1]
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
 
 def find(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the secrets of one layer."""
@@ -68,51 +92,108 @@ def find(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
-def _opened(data: bytes) -> bytes | None:
-    """What compressed data opens to; None if it isn't compressed, is broken, or opens to more than OPENED bytes."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            z = zlib.decompressobj(47)
-            out = z.decompress(data, OPENED + 1)
-            return out if z.eof and len(out) <= OPENED else None
-        if data[:3] == b"BZh":
-            b = bz2.BZ2Decompressor()
-            out = b.decompress(data, OPENED + 1)
-            return out if b.eof and len(out) <= OPENED else None
-        if data[:6] == b"\xfd7zXZ\x00":
-            x = lzma.LZMADecompressor(memlimit=128 << 20)
-            out = x.decompress(data, OPENED + 1)
-            return out if x.eof and len(out) <= OPENED else None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        pass
-    return None
+def _decompressor(head: bytes) -> Any:
+    """A new decompressor for data with this beginning; None if it isn't compressed."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor(memlimit=128 << 20) if head[:6] == b"\xfd7zXZ\x00" else None
 
 
-def _readable(data: bytes) -> str | None:
+def _is_compressed(head: bytes) -> bool:
     try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
-def _bytes_layer(data: bytes, place: list[tuple[int, int]]) -> Layer | None:
-    """The layer of decoded bytes; place has the span of each byte. Compressed bytes all come from the whole run."""
-    if (inner := _opened(data)) is not None:
-        whole = (place[0][0], place[-1][1])
-        while (more := _opened(inner)) is not None and more != inner:
-            inner = more
-        text = _readable(inner)
-        return Layer(text, [whole[0]] * len(text), [whole[1]] * len(text)) if text else None
-    if (text := _readable(data)) is None:
-        return None
-    starts, ends, at = [], [], 0
-    for c in text:
-        n = len(c.encode())
-        starts.append(place[at][0])
-        ends.append(place[at + n - 1][1])
-        at += n
-    return Layer(text, starts, ends)
+        if (z := _decompressor(head)) is not None:
+            z.decompress(head, 1)
+            return True
+    except _BROKEN:
+        pass
+    return False
+
+
+def _members(source: Iterator[bytes]) -> Iterator[bytes]:
+    """What compressed data opens to, member after member, in parts of at most PIECE bytes, then what stands behind the last
+    member on a line of its own. Broken data end where they break."""
+    rest: bytes | None = b""
+    while True:
+        while len(rest) < 6 and (more := next(source, None)) is not None:
+            rest += more
+        rest = rest.lstrip(b"\0")
+        if (z := _decompressor(rest)) is None:
+            yield b"\n" + rest
+            yield from source
+            return
+        try:
+            while not z.eof:
+                out = z.decompress(rest, PIECE)
+                rest = getattr(z, "unconsumed_tail", b"")
+                if out:
+                    yield out
+                if not z.eof and not rest and getattr(z, "needs_input", not out) and (rest := next(source, None)) is None:
+                    return
+        except _BROKEN:
+            return
+        rest = z.unused_data
+
+
+def _kept(source: Iterator[bytes]) -> Iterator[bytes]:
+    """The same bytes from a temporary file, so that nested generators end there."""
+    with tempfile.SpooledTemporaryFile(max_size=PIECE) as file:
+        for part in source:
+            file.write(part)
+        file.seek(0)
+        while part := file.read(PIECE):
+            yield part
+
+
+def _opened(data: bytes) -> Iterator[bytes]:
+    """Parts of what data and all that is compressed in it open to; each level's beginning comes too, as text may begin like
+    compressed data. A level that begins as one before it does ends the opening, so data that open to themselves do."""
+    source, seen = iter([data]), set()
+    while True:
+        head = b""
+        while len(head) < HEAD and (part := next(source, None)) is not None:
+            head += part
+        if head in seen or not _is_compressed(head):
+            break
+        seen.add(head)
+        yield from (head[:HEAD], b"\n")
+        source = _members(itertools.chain([head], source))
+        if len(seen) % 100 == 0:
+            source = _kept(source)
+    if seen:
+        yield head
+        yield from source
+
+
+def _pieces(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The parts in pieces that end behind a byte that is in no secret, escape or encoded run. Where OPENED bytes have none,
+    the next piece begins OVERLAP bytes before the end."""
+    held = bytearray()
+    for part in parts:
+        held += part
+        if len(held) < PIECE:
+            continue
+        if edge := len(held.rstrip(_INNER)):
+            yield bytes(held[:edge])
+            del held[:edge]
+        elif len(held) >= OPENED:
+            yield bytes(held)
+            del held[:-OVERLAP]
+    yield bytes(held)
+
+
+def _bytes_layers(data: bytes, place: Callable[[], list[tuple[int, int]]]) -> Iterator[Layer]:
+    """The layers of decoded bytes, a character for each byte, as patterns are ASCII; place gives the span of each byte.
+    Compressed bytes all come from the whole run."""
+    if _is_compressed(data):
+        spans = place()
+        for piece in _pieces(_opened(data)):
+            if _ASCII.search(piece):
+                yield Layer(piece.decode("latin-1"), whole=(spans[0][0], spans[-1][1]))
+    elif _ASCII.search(data):
+        spans = place()
+        yield Layer(data.decode("latin-1"), [s for s, _ in spans], [e for _, e in spans])
 
 
 def _unescaped(layer: Layer) -> Layer | None:
@@ -134,12 +215,17 @@ def _unescaped(layer: Layer) -> Layer | None:
                 places.append((spans[k][0], spans[k + n - 1][1]))
                 k += n
         out.append(decoded)
+        if layer.whole is not None:
+            data, spans = [], []
+            return
         starts.extend(s for s, _ in places)
         ends.extend(e for _, e in places)
         data, spans = [], []
 
     def copy(a: int, b: int) -> None:
         out.append(text[a:b])
+        if layer.whole is not None:
+            return
         starts.extend(range(a, b) if layer.starts is None else layer.starts[a:b])
         ends.extend(range(a + 1, b + 1) if layer.ends is None else layer.ends[a:b])
 
@@ -169,17 +255,19 @@ def _unescaped(layer: Layer) -> Layer | None:
     if data:
         flush()
     copy(at, len(text))
-    return Layer("".join(out), starts, ends) if found else None
+    if not found:
+        return None
+    return Layer("".join(out), starts, ends) if layer.whole is None else Layer("".join(out), whole=layer.whole)
 
 
-def _decoded(layer: Layer, done: set[tuple[str, str, int, int]]) -> Iterator[Layer]:
+def _decoded(layer: Layer, done: set[tuple[str, bytes, int, int]]) -> Iterator[Layer]:
     """The layers that a layer opens to: itself without escapes, and its encoded runs but those in done, which grows."""
     text = layer.text
     if ("%" in text or "\\" in text or "&#" in text) and (inner := _unescaped(layer)):
         yield inner
 
     def fresh(m: re.Match[str]) -> bool:  # a run may be both kinds
-        key = (m.re.pattern, m[0], *layer.span(m.start(), m.end()))
+        key = (m.re.pattern, _digest(m[0]), *layer.span(m.start(), m.end()))
         new = key not in done
         done.add(key)
         return new
@@ -194,36 +282,36 @@ def _decoded(layer: Layer, done: set[tuple[str, str, int, int]]) -> Iterator[Lay
             data = base64.b64decode(body.translate({0x2D: "+", 0x5F: "/"}) + "=" * (-len(body) % 4), validate=True)
         except binascii.Error:
             continue
-        a = m.start()
-        place = [layer.span(a + i * 4 // 3, a + min(len(body), ((i + 1) * 4 + 2) // 3)) for i in range(len(data))] if _opened(data) is not None or _readable(data) else []
-        if place:
-            place[-1] = (place[-1][0], layer.span(m.end() - 1, m.end())[1])  # with the padding
-            if inner := _bytes_layer(data, place):
-                yield inner
+        yield from _bytes_layers(data, functools.partial(_base64_places, layer, m, len(data)))
     for m in _HEX_RUN.finditer(text):
-        if not fresh(m):
-            continue
-        data = bytes.fromhex(m[0])
-        if _opened(data) is not None or _readable(data):
-            a = m.start()
-            if inner := _bytes_layer(data, [layer.span(a + 2 * i, a + 2 * i + 2) for i in range(len(data))]):
-                yield inner
+        if fresh(m):
+            data = bytes.fromhex(m[0])
+            yield from _bytes_layers(data, lambda a=m.start(), n=len(data): [layer.span(a + 2 * i, a + 2 * i + 2) for i in range(n)])
+
+
+def _base64_places(layer: Layer, m: re.Match[str], n: int) -> list[tuple[int, int]]:
+    """The span of each of the n bytes of a base64 run; that of the last has the padding."""
+    a, size = m.start(), len(m[0].rstrip("="))
+    place = [layer.span(a + i * 4 // 3, a + min(size, ((i + 1) * 4 + 2) // 3)) for i in range(n)]
+    return [*place[:-1], (place[-1][0], layer.span(m.end() - 1, m.end())[1])]
 
 
 def spans(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """(base, all) spans of a text as (start, kind, end): those of the text itself, and with those of every inner layer."""
     base = find(text)
-    every, seen, work, done = set(base), {text}, [Layer(text)], set()
+    every, seen, done = set(base), set(), set()
+    work = [_decoded(Layer(text), done)]
     while work:
-        for inner in _decoded(work.pop(), done):
-            place = (inner.text, inner.starts[0], inner.ends[-1]) if inner.starts and inner.ends else inner.text
-            if place in seen or inner.text == text:
-                continue
-            seen.add(place)
-            for a, kind, b in find(inner.text):
-                s, e = inner.span(a, b)
-                every.add((s, kind, e))
-            work.append(inner)
+        if (inner := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if inner.text == text or (key := inner.key()) in seen:
+            continue
+        seen.add(key)
+        for a, kind, b in find(inner.text):
+            s, e = inner.span(a, b)
+            every.add((s, kind, e))
+        work.append(_decoded(inner, done))
     order = {k: i for i, k in enumerate(KINDS)}
     by = lambda x: (x[0], order[x[1]], x[2])
     return sorted(base, key=by), sorted(every, key=by)

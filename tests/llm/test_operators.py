@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import re
 import urllib.parse
@@ -277,6 +279,29 @@ def test_secrets_whose_name_and_value_stand_apart(hidden):
     assert (13 + name, "assign", 13 + len(hidden)) in secret_scan.spans(text)[1]
 
 
+LOG = b"2024-05-06 nothing new, all is well\n" * 600_000
+
+
+def _nested(data, times):
+    for _ in range(times):
+        data = zlib.compress(data)
+    return data
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        gzip.compress(SECRET.encode() + b"\n" + LOG), gzip.compress(LOG + SECRET.encode()), gzip.compress(b"a" * (17 << 20) + b" " + SECRET.encode() + b" a" * (17 << 20)), gzip.compress(b"some words") + gzip.compress(SECRET.encode()),
+        gzip.compress(SECRET[:10].encode()) + b"\0" * 9 + gzip.compress(SECRET[10:].encode()), bz2.compress(b"some words") + bz2.compress(SECRET.encode()), lzma.compress(LOG) + lzma.compress(SECRET.encode()), gzip.compress(b"some words") + b"\n" + SECRET.encode(),
+        b"\x00\x07 " + SECRET.encode() + b" \x9d\xff", gzip.compress(b"\xff\x00" + SECRET.encode() + b"\x01"), b"x " + SECRET.encode(), zlib.compress(b"x " + SECRET.encode()), _nested(SECRET.encode(), 1500), gzip.compress(b"x" * ((1 << 20) - 9) + b"\n" + SECRET.encode()),
+    ],
+    ids=range(14),
+)
+def test_secrets_in_large_joined_and_unprintable_data(data):
+    hidden = base64.b64encode(data).decode()
+    assert (5, "assign", 5 + len(hidden)) in secret_scan.spans(f"é xx {hidden} tail")[1] or data[:1] in b"\0x" and any(k == "assign" for _, k, _ in secret_scan.spans(f"é xx {hidden} tail")[1])
+
+
 def test_secret_base_and_cycles(docs):
     rx = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     for t in docs.values():
