@@ -1,7 +1,7 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 Exact formats (base) are found by validated patterns. Beside them, high-recall generators propose spans of each kind, which
-may overlap; boosted trees over format and context features score them, and those at or above their kind's calibrated
+overlap within a kind too; boosted trees over format and context features score them, and those at or above their kind's calibrated
 threshold are added where no base span and no better candidate overlaps. The trees are fitted on the driver, over
 candidates of written examples (SAMPLE of them, made from seeded rules, true and false in equal parts; there are no labels of
 personal data to learn from), and compiled into one column expression.
@@ -33,12 +33,13 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9]){15,}",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: High-recall patterns of each kind.
+#: High-recall patterns of each kind, each tried at every place, so their matches overlap: cards by their number of digits,
+#: phones by their number of digit groups.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+",
-    "ip": r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\(dot\)|\[dot\]|\.)[0-9]{1,3}){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ ./-]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+|\()?[0-9][ ().0-9/-]{6,20}[0-9](?![0-9])",
+    "email": [r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+"],
+    "ip": [r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\(dot\)|\[dot\]|\.)[0-9]{1,3}){3}(?![0-9])"],
+    "card": [rf"(?<![0-9])[0-9](?:[ ./-]?[0-9]){{{n - 1}}}(?![0-9])" for n in range(13, 20)],
+    "phone": [rf"(?<![0-9])[+(]?[0-9]{{1,15}}(?:[ ()./-]{{1,5}}[0-9]{{1,12}}){{{k}}}(?![0-9])" for k in range(15)],
 }
 _GATE = {"email": r"@|[(\[{]at[)\]}]", "ip": r"[0-9](?:\.|[(\[])", "card": r"[0-9][0-9 ./-]{11}", "phone": r"[0-9][ ().0-9/-]{6}"}
 _WORDS = {"email": "mail|contact|write", "ip": "ip|addr|host|server", "card": "card|visa|credit|pay", "phone": "tel|phone|call|mobile|fax"}
@@ -62,6 +63,21 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
+def overlapping(text: Column, pattern: str, kind: str) -> Column:
+    """The match at each place that has one, as matches() gives them."""
+    t = F.concat(F.lit(" "), text)  # as split gives no empty part before a match at the start
+    found, gaps = F.regexp_extract_all(t, F.lit(f"(?=({pattern}))"), F.lit(1)), F.split(t, f"(?={pattern})", -1)
+    start = F.struct(F.lit(-1).alias("at"), F.expr(_EMPTY).alias("out"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        a = acc["at"] + F.length(pair["gap"])
+        one = F.struct(a.cast("int").alias("start"), (a + F.length(pair["value"])).cast("int").alias("end"), F.lit(kind).alias("kind"), pair["value"].alias("value"))
+        return F.struct(a.cast("int").alias("at"), F.concat(acc["out"], F.array(one.cast(_SPAN))).alias("out"))
+
+    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(g.alias("gap"), v.alias("value")))
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+
 def _gated(text: Column, pattern: str, of: Column) -> Column:
     return F.when(text.rlike(pattern), of).otherwise(F.expr(_EMPTY))
 
@@ -89,8 +105,10 @@ def _of_kind(spans: Column, kind: str) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """The spans that the generators propose."""
-    return F.concat(*[_gated(text, _GATE[k], matches(text, WIDE[k], k)) for k in KINDS])
+    """The spans that the generators propose; those of a kind overlap too."""
+    found = {k: F.concat(*[overlapping(text, p, k) for p in WIDE[k]]) for k in KINDS}
+    found["phone"] = F.filter(found["phone"], lambda s: F.length(_digits(s["value"])).between(7, 15))
+    return F.concat(*[_gated(text, _GATE[k], found[k]) for k in KINDS])
 
 
 def _features(text: Column, s: Column) -> list[Column]:
@@ -110,15 +128,23 @@ def _features(text: Column, s: Column) -> list[Column]:
         F.call_function("luhn_check", _digits(v)),
         v.rlike(r"^[0-9]{4}([ ./-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$"),
         v.rlike(r"[.)\]][ ]?[A-Za-z]{2,6}$"),
+        v.rlike(r"^[3-6](?:[0-9]{12,18}|[0-9]{3}([ ./-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{3})?)$") & F.call_function("luhn_check", _digits(v)),
         before.rlike(r"[a-z0-9_=#]$|[0-9][.,:/-]$"),
         after.rlike("[A-Za-z0-9_]"),
+        before.rlike(r"[0-9][ ./()-]{1,3}$"),
+        before.rlike(r"[+(]$"),
+        F.substr(text, s["end"] + 1, F.lit(4)).rlike(r"^[ ./()-]{1,3}[0-9]"),
+        v.rlike(r"^[^()]*(?:\([^()]*\)[^()]*)*$"),
+        v.rlike(r"^(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}$"),
+        v.rlike(r"^(?:\+[0-9]{1,3}|00[0-9]{1,3}|1)[ .-]\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-]?[0-9]{3,4}$"),
+        before.rlike(r"(?:\+[0-9]{1,3}|(?<![0-9./-])00[0-9]{1,3}|(?<![0-9./-])1)[ .-]?\(?$"),
         *(before.rlike(w) for w in _WORDS.values()),
     ]
     return [F.length(v).cast("double"), n.cast("double"), F.size(groups).cast("double"), F.array_max(F.transform(groups, F.length)).cast("double"), *(f.cast("double") for f in flags)]
 
 
-def _written(rng: random.Random) -> tuple[str, str, str, int]:
-    """(text before, span, text after, truth) of one example."""
+def _written(rng: random.Random) -> tuple[str, str, str, int, str, str]:
+    """(text before, span, text after, truth, true number that follows it or nothing, kind) of one example."""
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     word = lambda: "".join(rng.choice("aeiounrstlhd") for _ in range(rng.randint(2, 8)))
     kind, true = rng.choice(KINDS), rng.random() < 0.5
@@ -138,11 +164,14 @@ def _written(rng: random.Random) -> tuple[str, str, str, int]:
             span = sep.join(str(rng.randint(256, 999)) for _ in range(4))
     elif kind == "card":
         n, sep = rng.choice([13, 15, 16, 16, 16, 19]), rng.choice(["", " ", "-", "."])
-        body = "4" + digits(n - 2)
-        double = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body)))
-        check = -double % 10 if true else (-double + rng.randint(1, 9)) % 10
-        span = body + str(check)
-        span = sep.join(span[i : i + 4] for i in range(0, n, 4))
+        total = lambda d: sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(d)))
+        valid = lambda d: (total(d[:-1]) + int(d[-1])) % 10 == 0
+        card = lambda right: (d := "4" + digits(n - 2)) + str((-total(d) + (0 if right else rng.randint(1, 9))) % 10)
+        split = lambda d: sep.join(d[i : i + 4] for i in range(0, n, 4))
+        body = card(true)
+        while not true and n == 19 and (valid(body[:16]) or valid(body[4:])):  # a false card has no true one in it
+            body = card(true)
+        span = split(body)
     else:
         a, b, c = digits(3), digits(3), digits(4)
         span = rng.choice([f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"00{digits(2)} {a} {b}{c}"])
@@ -150,7 +179,20 @@ def _written(rng: random.Random) -> tuple[str, str, str, int]:
             span = rng.choice([f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.20{digits(2)}", digits(9), digits(12), f"{digits(4)}.{digits(6)}", f"{digits(1)}-{digits(1)}-{digits(2)}-{digits(3)}"])
     if not true and rng.random() < 0.3:
         before, after = before.rstrip() + rng.choice(["x", "b7", "="]), rng.choice(["e", "f0", "_"]) + after
-    return before, span, after, int(true)
+    second = ""
+    if true and kind in ("phone", "card") and rng.random() < 0.5:  # other digits beside it, with which it must not run together
+        other = lambda: rng.choice([f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.20{digits(2)}", rng.choice("23456789"), *(rng.choice("23456789") + digits(n) for n in (1, 2, 3))])
+        if rng.random() < 0.6:
+            before += other() + " "
+        if kind == "phone" and rng.random() < 0.4:
+            second = f"{digits(3)}-{digits(3)}-{digits(4)}" if span[0] not in "+(" else f"({digits(3)}) {digits(3)}-{digits(4)}"
+            after = f" {second}{after}"
+        elif kind == "card" and rng.random() < 0.4:
+            second = span if rng.random() < 0.5 else split(card(True))
+            after = f" {second}{after}"
+        elif rng.random() < 0.5:
+            after = f" {other()}{after}"
+    return before, span, after, int(true), second, kind
 
 
 @functools.cache
@@ -158,17 +200,24 @@ def _model(session: int) -> tuple[tuple[float, list[boosting.Node]], dict[str, f
     """(trees, log-odds threshold by kind), fitted on two thirds of the written examples and calibrated on the rest."""
     spark = SparkSession.active()
     rng = random.Random(session)
-    rows = [(i, a, s, b, y) for i, (a, s, b, y) in enumerate(_written(rng) for _ in range(SAMPLE))]
-    df = spark.createDataFrame(rows, "id int, a string, s string, b string, y int").coalesce(1)
+    rows = [(i, *x) for i, x in enumerate(_written(rng) for _ in range(SAMPLE))]
+    df = spark.createDataFrame(rows, "id int, a string, s string, b string, y int, z string, kind string").coalesce(1)
     df = df.withColumn("text", F.concat("a", "s", "b")).withColumn("c", candidates(F.col("text")))
-    scored = df.select("id", "y", F.length("a").alias("lo"), (F.length("a") + F.length("s")).alias("hi"), F.transform("c", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("k"), F.array(*_features(F.col("text"), s)).alias("f"))).alias("c"))
-    data = [(r.id, c.k, c.f, int(r.y and c.a <= r.lo and c.b >= r.hi)) for r in scored.collect() for c in r.c]
+    scored = df.select("id", "y", "kind", F.length("z").alias("z"), F.length("a").alias("lo"), (F.length("a") + F.length("s")).alias("hi"), F.transform("c", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("k"), F.array(*_features(F.col("text"), s)).alias("f"))).alias("c"))
+    data = [(r.id, c.k, c.f, int(r.y and c.k == r.kind and (c.a, c.b) in ((r.lo, r.hi), (r.hi + 1, r.hi + 1 + r.z))), c.a, c.b) for r in scored.collect() for c in r.c]
     x, y = np.array([d[2] for d in data]), np.array([d[3] for d in data])
     kind, fold = np.array([d[1] for d in data]), np.array([d[0] % 3 for d in data])
-    model = boosting.fit(x[fold < 2], y[fold < 2].astype(float))
+    model = boosting.fit(x[fold < 2], y[fold < 2].astype(float), trees=50)
     odds, cuts = boosting.log_odds(model, x), {}
+    best = np.zeros(len(data), dtype=bool)  # those that no better candidate of their example overlaps
+    taken: dict[int, list[tuple[int, int]]] = {}
+    for i in np.argsort(-odds, kind="stable").tolist():
+        n, _, _, _, a, b = data[i]
+        if all(a >= d or b <= c for c, d in taken.setdefault(n, [])):
+            taken[n].append((a, b))
+            best[i] = True
     for k in KINDS:
-        held = (kind == k) & (fold == 2)
+        held = (kind == k) & (fold == 2) & best
         order = np.argsort(-odds[held], kind="stable")
         good = np.cumsum(y[held][order]) / np.arange(1, held.sum() + 1) >= PRECISION
         cuts[k] = max(float(odds[held][order][np.flatnonzero(good)[-1]]), 0.0) if good.any() else 99.0

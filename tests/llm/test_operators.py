@@ -415,6 +415,13 @@ def test_personal_data_adds_and_redacts(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_numbers_beside_other_digits_are_found_whole(spark):
+    texts = {"on 2024-01-05 555-123-4567 we met": ["555-123-4567"], "tel 555-123-4567 555-987-6543 or so": ["555-123-4567", "555-987-6543"], "room 12 (212) 555-0100 upstairs": ["(212) 555-0100"], "call 1 (212) 555-0100 now": ["1 (212) 555-0100"], "on 2024-01-05 at 12345": [], "pay 4465758382889437 4465758382889437 twice": ["4465758382889437"] * 2, "card 4111 1111 1111 1111 12 times": ["4111 1111 1111 1111"]}
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {r.text: [s.value for s in r.personal_data] for r in personal_data.find_personal_data(frame).collect()}
+    assert found == texts
+
+
 def test_quality_model_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     rows = queries()["op2_rule_ensemble"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").select("score", "predicted", "quality").collect()
