@@ -271,7 +271,7 @@ def paired_delta_interval(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(_BOOT_SQL.format("select user_id g, event_id k, value v from events", "latency", 20, "g"))
 def mean_interval_by_user(spark: SparkSession, d: str) -> DataFrame:
-    """A16, A10 by group, with portable draws."""
+    """A16's mean by group, with portable draws."""
     rows = table(spark, d, "events").select(F.col("user_id").alias("g"), "event_id", F.col("value").alias("v"))
     return statistics.portable_bootstrap(rows, ["g"], "event_id", "v", 20, "latency").select("g", "n", *[F.round(c, 6).alias(c) for c in ("point", "low", "high")])
 
@@ -285,7 +285,7 @@ def mean_interval_numpy(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""select count(*) teacher_errors, count(*) filter (toxic = 1 and quality = 0) repeated, round(count(*) filter (toxic = 1 and quality = 0) / greatest(count(*), 1), 6) share from labels where quality = 0""")
 def inherited_share(spark: SparkSession, d: str) -> DataFrame:
-    """J8, A11."""
+    """J8; the share without A11's interval."""
     labels = table(spark, d, "labels")
     teacher = labels.select("doc_id", (F.col("quality") == 1).alias("correct"), F.lit("x").alias("predicted"))
     student = labels.select("doc_id", (F.col("toxic") == 0).alias("correct"), F.when(F.col("toxic") == 1, "x").alias("predicted"))
