@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,22 +75,16 @@ def folded_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-def texts_of(column: pa.Array) -> list[str | None]:
-    return column.to_pylist()
-
-
-def by_bytes(texts: list[str | None], most: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
-    """(first index, texts) in runs whose characters add up to about most, null as empty."""
-    start, size, run = 0, 0, []
-    for i, t in enumerate(texts):
-        t = t or ""
-        if run and size + len(t) > most:
-            yield start, run
-            start, size, run = i, 0, []
-        run.append(t)
-        size += len(t)
-    if run:
-        yield start, run
+def by_bytes(column: pa.Array, most: int, rows: int = 1 << 30) -> Iterator[tuple[int, list[str | None]]]:
+    """(first index, texts) in runs of about most UTF-8 bytes and at most rows texts. Only one run at a time is held as strings."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(column):
+        b = int(np.searchsorted(ends, ends[a] - sizes[a] + most, side="right"))
+        b = min(max(b, a + 1), a + rows)
+        yield a, column.slice(a, b - a).to_pylist()
+        a = b
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

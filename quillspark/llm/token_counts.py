@@ -1,7 +1,11 @@
 """Token counts: batch encoding in an Arrow function that returns lengths only.
 
-Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows each get their row; an input column named
-like a result column gives way to it; an empty table gives an empty result.
+Texts are encoded in runs balanced by UTF-8 bytes; a longer text is split before ASCII white space, where no piece of the
+vocabulary spans, and its parts add up.
+
+Defined results: null text counts as empty (0 bytes, 0 tokens); very long texts count whole, and one without white space is
+encoded in one piece; ties don't arise; repeated rows each get their row; an input column named like a result column gives
+way to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, texts_of, vocabulary_path, with_results
-from .encoding import counter
+from . import encoding
+from .common import vocabulary_path, with_results
 
 
 def n_tokens(text: Column | str, path: str) -> Column:
@@ -21,12 +25,8 @@ def n_tokens(text: Column | str, path: str) -> Column:
 
     @F.arrow_udf("bigint")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counts = counter(path)
         for column in batches:
-            out: list[int] = []
-            for _, run in by_bytes(texts_of(column)):
-                out += counts(run)
-            yield pa.array(out, pa.int64())
+            yield pa.array(encoding.token_counts(column, path))
 
     return count(text)
 

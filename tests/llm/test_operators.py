@@ -15,6 +15,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from hypothesis import given, settings
@@ -39,23 +40,44 @@ def library():
     return Tokenizer.from_file(WORDS)
 
 
+ODD = st.text(alphabet=st.sampled_from("aZ'sstrelvmdééÉ. ,!9\n\t\x0b\x1c 　ßµ×÷<|>endoftxİ中"), max_size=60)
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aZ'stééÉ. ,!9\n\t\x1c 　ßµ×<|>endoftxİ"), max_size=60))
-def test_encoding_is_the_library_s(text):
+@given(st.lists(ODD, max_size=6))
+def test_encoding_is_the_library_s(texts):
     tokenizer = test_encoding_is_the_library_s.__dict__.setdefault("t", Tokenizer.from_file(WORDS))
-    for t in (text, text + "<|endoftext|>" + text):
-        ids = tokenizer.encode(t, add_special_tokens=False).ids
-        assert encoding.id_encoder(WORDS)([t]) == [encoding.little_endian(ids)]
-        assert encoding.counter(WORDS)([t]) == [len(ids)]
+    texts = [*texts, None, *(t + "<|endoftext|>" + t for t in texts)]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoding.token_ids(pa.array(texts), WORDS)] == want
+    assert encoding.token_counts(pa.array(texts), WORDS).tolist() == list(map(len, want))
+
+
+@pytest.mark.parametrize("slots_log2, memo", [(2, 0), (12, 500)])
+def test_encoding_with_a_crowded_cache(docs, library, monkeypatch, slots_log2, memo):
+    monkeypatch.setattr(encoding, "SLOTS_LOG2", slots_log2)
+    monkeypatch.setattr(encoding, "MEMO_BYTES", memo)
+    monkeypatch.setattr(encoding, "_ENCODERS", {})
+    texts = [t for t in docs.values() if t and len(t) < 3000] + ["don't " * 40 + "x" * 30 + " é" * 9]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in encoding.token_ids(pa.array(texts), WORDS)] == want
+        assert encoding.token_counts(pa.array(texts), WORDS).tolist() == list(map(len, want))
 
 
 def test_long_texts_are_cut_at_safe_places(library, monkeypatch):
-    text = "Word é,word. " * 500
-    monkeypatch.setattr(encoding, "LONG", 100)
-    monkeypatch.setattr(encoding.split_long, "__defaults__", (100,))
-    encoder = encoding.WordEncoder(WORDS, encoding.little_endian, b"".join)
-    assert len(encoding.split_long(text)) > 10 and "".join(encoding.split_long(text)) == text
-    assert encoder.encode(text) == encoding.little_endian(library.encode(text, add_special_tokens=False).ids)
+    texts = ["Word é,word. " * 500, "", "x" * 700, "short é"]
+    monkeypatch.setattr(encoding.parts, "__defaults__", (100,))
+    runs = list(encoding.parts(pa.array(texts)))
+    assert len(runs) > 10 and b"".join(p for run in runs for i, p in run if i == 0).decode() == texts[0]
+    assert [x.tolist() for x in encoding.token_ids(pa.array(texts), WORDS)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_other_vocabularies(docs, name):
+    texts = [*list(docs.values())[:20], None]
+    counts = encoding.token_counts(pa.array(texts), vocabulary_path(name))
+    assert [len(x) for x in encoding.token_ids(pa.array(texts), vocabulary_path(name))] == counts.tolist() and counts[-1] == 0 and counts[:-1].min() > 0
 
 
 def test_token_counts(spark, docs, library):
@@ -81,9 +103,16 @@ def test_best_fit_takes_the_fullest_that_fits_and_closes_the_fullest():
     assert [b for b, _ in packing.best_fit([40, 50, 60, 14], 64, 2)] == [0, 1, 2, 0]
 
 
+def test_bounded_open_bins_cost_little():
+    lengths = np.random.default_rng(3).integers(1, 2000, 20_000).tolist()
+    bins = {most: 1 + max(at for at, _ in packing.best_fit(lengths, 4096, most)) for most in (4, 128, 1 << 30)}
+    least = -(-sum(lengths) // 4096)
+    assert bins[4] > bins[128] and bins[128] <= 1.01 * least and bins[128] <= 1.01 * bins[1 << 30]
+
+
 def test_packing(spark, docs, library):
     rows = queries()["op3_best_fit_packing"](spark, SMALL).collect()
-    ids = {i: encoding.little_endian([*library.encode(t, add_special_tokens=False).ids, 1]) for i, t in docs.items()}
+    ids = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 1], dtype="<u4").tobytes() for i, t in docs.items()}
     used: dict[int, list] = {}
     for r in rows:
         part = ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)]
@@ -149,25 +178,73 @@ def test_quality_base_rules(docs):
         assert [got[n][i] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)]
 
 
-def test_kneser_ney_sums_to_one_and_equals_the_recursion():
-    keys, _ = quality_rules.gram_keys(["abracadabra", "banana", "abc"])
-    grams, counts = np.unique(keys, return_counts=True)
-    model = quality_rules.KneserNey.of(grams, counts)
+class PlainKneserNey:
+    """The model of lists of symbols from its definition: dictionaries and recursion."""
+
+    def __init__(self, rows: list[list[int]]):
+        self.counts: list[dict[tuple, float]] = [{} for _ in range(5)]
+        for r in rows:
+            for i in range(3, len(r)):
+                g = tuple(r[i - 3 : i + 1])
+                self.counts[4][g] = self.counts[4].get(g, 0) + 1
+        for n in (3, 2, 1):
+            for g, c in self.counts[n + 1].items():
+                self.counts[n][g[1:]] = self.counts[n].get(g[1:], 0) + (c if g[1] == quality_rules.START else 1)
+        self.cuts = []
+        for n in range(1, 5):
+            k = [sum(v == j for v in self.counts[n].values()) for j in (1, 2, 3, 4)]
+            y = k[0] / (k[0] + 2 * k[1]) if k[0] and k[1] else 0.5
+            cut = [1 - 2 * y * k[1] / k[0] if k[0] else 0.5, 2 - 3 * y * k[2] / k[1] if k[1] else 1.0, 3 - 4 * y * k[3] / k[2] if k[2] else 1.5]
+            self.cuts.append([min(max(d, 0.05), j - 0.05) for j, d in enumerate(cut, 1)])
+
+    def p(self, gram: tuple) -> float:
+        if not gram:
+            return 1 / (quality_rules.SYMBOLS - 1)
+        n, below = len(gram), self.p(gram[1:])
+        same = {g: c for g, c in self.counts[n].items() if g[:-1] == gram[:-1]}
+        if not same:
+            return below
+        cut = lambda c: self.cuts[n - 1][int(min(c, 3)) - 1]
+        c = same.get(gram, 0)
+        return ((c - cut(c) if c else 0) + sum(map(cut, same.values())) * below) / sum(same.values())
+
+
+def test_kneser_ney_equals_its_definition_and_sums_to_one():
+    texts = ["abracadabra", "banana", "abc abc", "Привет, да", "中文 \U0001f600", None, ""]
+    keys, bounds = quality_rules.gram_keys(texts)
     s = quality_rules.SYMBOLS
-    for context in (0, int(keys[3] // s), 77):
-        assert (10 ** model.log10(np.arange(context * s, context * s + s))).sum() == pytest.approx(1)
-    # the top order, written out from the definition
-    c = dict(zip(grams.tolist(), counts.tolist(), strict=True))
-    n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-    cut = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1] if n[1] else 1.0, 3 - 4 * y * n[3] / n[2] if n[2] else 1.5]
-    cut = [min(max(d, 0.05), k - 0.05) for k, d in enumerate(cut, 1)]
-    key = int(keys[4])
-    same = {g: v for g, v in c.items() if g // s == key // s}
-    total = sum(same.values())
-    lower = quality_rules.KneserNey(model.grams[:-1] + [np.array([], np.int64)], model.logs[:-1] + [np.array([])], model.contexts[:-1] + [np.array([-1])], model.weights[:-1] + [np.array([0.0])]).log10(np.array([key]))[0]
-    want = (c[key] - cut[min(c[key], 3) - 1]) / total + sum(cut[min(v, 3) - 1] for v in same.values()) / total * 10**lower
-    assert 10 ** model.log10(np.array([key]))[0] == pytest.approx(want)
+    last = [int(k) % s for k in keys]
+    rows = [[quality_rules.START] * 3 + last[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert rows[0][3:5] == [quality_rules.LETTERS, quality_rules.LETTERS + 1] and rows[-1] == [1, 1, 1, 0]
+    model, plain = quality_rules.KneserNey.of(*np.unique(keys, return_counts=True)), PlainKneserNey(rows)
+    spell = lambda k: tuple(int(k) // s**j % s for j in (3, 2, 1, 0))
+    other = np.random.default_rng(1).integers(0, s**4, 200)
+    near = [k // s * s + j for k in keys[:40].tolist() for j in (0, 3, 4, 30)]
+    asked = np.array([k for k in [*keys.tolist(), *other.tolist(), *near] if k % s != quality_rules.START])
+    assert 10 ** model.log10(asked) == pytest.approx([plain.p(spell(k)) for k in asked], rel=1e-5)
+    for context in (1 + s + s * s, int(keys[3] // s), 77):
+        every = np.array([k for k in range(context * s, context * s + s) if k % s != quality_rules.START])
+        assert (10 ** model.log10(every)).sum() == pytest.approx(1, rel=1e-5)
+
+
+def test_every_code_point_has_symbols_of_its_own():
+    points = np.array([c for c in range(0xA1, 0x30000) if not 0xD800 <= c < 0xE000], dtype=np.uint32)
+    symbols, size = quality_rules.symbols_of(points)
+    ends = np.cumsum(size)
+    spelled = [tuple(symbols[b - n : b].tolist()) for b, n in zip(ends.tolist(), size.tolist(), strict=True)]
+    own = [x for x in spelled if len(x) > 1]
+    assert len(set(own)) == len(own) > 190_000 and set(size.tolist()) == {1, 2, 3, 4} and symbols.max() < quality_rules.SYMBOLS
+
+
+@pytest.mark.parametrize("lang, letters", [("ru", "абвгдежзиклмнопрстуфхцчшыьэюя"), ("zh", "的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出而要于就下得可你年生")])
+def test_junk_in_other_scripts_is_rejected(spark, lang, letters):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list(letters[:20]), rng.integers(2, 7))) for _ in range(60)]
+    prose = lambda: " ".join(rng.choice(words, 120))
+    junk = lambda: " ".join("".join(rng.choice(list(letters[::-1]), rng.integers(2, 7))) for _ in range(120))
+    rows = [(i, lang, prose()) for i in range(300)] + [(1000 + i, lang, junk()) for i in range(5)]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id int, lang string, text string")).collect()}
+    assert sum(kept[i] for i in range(300)) == 300 and not any(kept[1000 + i] for i in range(5))
 
 
 def test_quality_rules_keep_clean_documents(spark):
@@ -439,3 +516,18 @@ def test_pipeline_equals_its_stages(spark, docs):
     want = {i for i, c in brute_contamination(left, bench).items() if not c[4]}
     assert {r.doc_id for r in rows} == want
     assert all(r.offset + r.length <= 4096 for r in rows)
+
+
+@pytest.mark.parametrize("text, spans", [
+    ("7" * 200_000, ""),
+    ("1 " * 4_000, ""),
+    ("a@" + "b." * 20_000 + "c", "email:0:40003"),
+    ("a at (at) " + "b(dot)" * 5_000 + "c", None),
+    ("a.b" * 50_000, ""),
+    ("1.2.3.4 " * 4_000, ",".join(f"ip:{8 * i}:{8 * i + 7}" for i in range(4_000))),
+    ("+" * 50_000 + "(" * 50_000, ""),
+])
+def test_personal_data_in_long_runs(spark, text, spans):
+    r = personal_data.find_personal_data(spark.createDataFrame([(text,)], "text string")).first()
+    assert spans is None or r.spans == spans
+    assert r.n_spans == len(r.personal_data)
