@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, folded_words, fresh, held, mix64, restored, texts_of, with_results, written
+from .common import by_bytes, folded_words, fresh, held, mix64, restored, with_results, written
 
 BLOCK = 16 << 20
 _SCAN = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
@@ -118,7 +118,7 @@ def _scan(text: Column, block: Any, n: int) -> Column:
         index = _INDEXES[name]
         for column in batches:
             out = []
-            for _, run in by_bytes(texts_of(column), 1 << 20):
+            for _, run in by_bytes(column, 1 << 18):
                 out += index.scan(run)
             yield pa.array(out, _SCAN)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, crc_bucket, texts_of, vocabulary_path, written
+from .common import by_bytes, crc_bucket, vocabulary_path, written
 
 FREQUENT, ROUNDS = 300_000, 3
 #: Lengths above which a word's lattice is walked alone, and words of one length that are walked at a time.
@@ -179,10 +179,12 @@ def count_words(docs: DataFrame, text: str, train: str, most: int = 400_000) ->
                 c.clear()
 
         for batch in batches:
-            for learned, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                kept[bool(learned)].update(tokens(t))
-                if len(kept[0]) + len(kept[1]) > most:
-                    yield from sums()
+            learned = batch.column(0).to_pylist()
+            for a, run in by_bytes(batch.column(1), 1 << 19):
+                for i, t in enumerate(run, a):
+                    kept[bool(learned[i])].update(tokens(t))
+                    if len(kept[0]) + len(kept[1]) > most:
+                        yield from sums()
         yield from sums()
 
     found = docs.select(train, text).mapInArrow(count, "word binary, n_train bigint, n_all bigint")
@@ -256,7 +258,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_f
         last = known.shape[1] - 1
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, run in by_bytes(texts_of(batch.column(2)), 2 << 20):
+            for a, run in by_bytes(batch.column(2), 1 << 19):
                 part = batch.slice(a, len(run))
                 found = [tokens(t) for t in run]
                 sizes = np.array([len(w) for w in found], dtype=np.int64)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, held, mix64, restored, texts_of, written
+from .common import _FOLD, by_bytes, held, mix64, restored, written
 from .components import FEW, components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -35,8 +35,8 @@ BANDS, ROWS = 24, 5
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Standard deviations that a signature's agreement may fall below the similarity before a pair isn't looked at.
 SLACK = 4.0
-#: Documents worked on at a time, at most 512: a shingle keeps 55 bits beside its document's number.
-RUN = 256
+#: Documents (at most 512: a shingle keeps 55 bits beside its document's number) and bytes worked on at a time.
+RUN, RUN_BYTES = 256, 1 << 18
 
 _ONE = np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -46,17 +46,8 @@ _LUT = np.frombuffer(_FOLD, dtype=np.uint8)
 _DARTS = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(18)])
 
 
-def _runs(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str | None]]:
-    run: list[str | None] = []
-    size = 0
-    for t in texts:
-        if run and (len(run) == RUN or size + len(t or "") > most):
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t or "")
-    if run:
-        yield run
+def _runs(column: pa.Array) -> Iterator[list[str | None]]:
+    return (run for _, run in by_bytes(column, RUN_BYTES, RUN))
 
 
 def shingles(texts: list[str | None], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +148,7 @@ def content(text: Column | str) -> Column:
 
     @F.arrow_udf("binary")
     def digest(texts: pa.Array) -> pa.Array:
-        return pa.array(_content(texts_of(texts)), pa.binary())
+        return pa.array([x for run in _runs(texts) for x in _content(run)], pa.binary())
 
     return digest(text)
 
@@ -169,7 +160,7 @@ def sketch(text: Column | str, bands: int = BANDS, width: int = ROWS, weighted:
     def draw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             contents, hashes = [], []
-            for run in _runs(texts_of(column)):
+            for run in _runs(column):
                 doc, x, n = shingles(run)
                 weight = n.astype(np.float64) if weighted else np.ones(len(n))
                 contents += _content(run)
@@ -222,9 +213,8 @@ def _unlinked(members: DataFrame, texts: DataFrame, least: float, bands: int, wi
     def compare(group: pa.Table) -> pa.Table:
         names, roots, block = group.column("content").to_pylist(), np.unique(group.column("root").to_pylist(), return_inverse=True)[1], group.column("block").to_numpy()
         whole = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        held = group.column("text").to_pylist()
         sets, sigs = [], []
-        for run in _runs(held):
+        for run in _runs(group.column("text").combine_chunks()):
             doc, x, n = shingles(run)
             ends = np.searchsorted(doc, np.arange(len(run) + 1))
             sets += [x[ends[k] : ends[k + 1]] for k in range(len(run))]
