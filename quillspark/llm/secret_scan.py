@@ -1,20 +1,23 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is the first layer. Each layer is searched for secrets. With all its escapes resolved (URL and Unicode escapes, HTML
-character references) the whole layer is the next one; its encoded runs (base64, hexadecimal, and gzip, zlib, bzip2 or xz data
-inside those) decode to further layers, until nothing new appears. A layer that was seen before isn't taken again, so cycles end. Every character of a layer knows the
-characters of the text that it came from, so finds in any layer are spans of the text.
-
-Defined results: null is empty and has no spans; repeated rows each get their row; equal spans count once; input columns
-named like a result give way to it; empty tables give an empty result. Compressed data are opened
-as a stream whatever their size, and one secret or encoded run in them may be cut only where more than OVERLAP bytes of it stand
-in OPENED bytes without a line break or other place to cut.
+character references) the whole layer is the next one, and so is the whole layer with its encoded runs that are plain text
+decoded in place, which finds secrets of which only a part is encoded. Each encoded run (base64, hexadecimal, and gzip, zlib,
+bzip2 or xz data inside those) also decodes to a layer of its own; base64 is tried from each place modulo 4 that follows a sign
+which may be a separator. This goes on until nothing new appears. A layer that was seen before isn't taken again, so cycles end,
+and a sign that is escaped many times by one kind of escape is taken to its last but one escape at once, so deep nesting
+costs little. Every character of a layer knows the characters of the text that it came from, so finds in any layer are spans
+of the text.
+
+Defined results: null and empty texts have no spans; very long texts are read whole; repeated rows each get their row; equal
+spans count once; input columns named like a result give way to it; empty tables give an empty result. Compressed data are
+opened as a stream whatever their size, and one secret or encoded run in them may be cut only where more than OVERLAP bytes of
+it stand in OPENED bytes without a line break or other place to cut.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import functools
 import hashlib
@@ -25,13 +28,14 @@ import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from html.entities import html5
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, with_results
+from .common import by_bytes, with_results
 
 KINDS = ("assign", "access", "hex")
 #: Compressed data are opened and searched in pieces of about PIECE bytes. A piece grows up to OPENED bytes while it has no
@@ -45,11 +49,21 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+#: One kind of escape of its own first sign, over and over.
+_CHAIN = r"(?P<chain>%(?:25){2,}|&(?:#38;){2,}|&(?:#[xX]26;){2,}|&(?:amp;){2,}|\\(?:u005[cC]){2,}|\\(?:x5[cC]){2,})"
+_ESCAPE = re.compile(_CHAIN + r"|%[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z][A-Za-z0-9]{1,31};")
+_ONCE = {"%": 3, "&a": 5, "&#3": 5, "&#x": 6, "&#X": 6, "\\u": 6, "\\x": 4}
 #: The bytes of secrets, escapes and encoded runs, and a text that is long enough for the shortest secret, token=abcdef.
 _INNER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\{}&#;"
 _ASCII = re.compile(rb"[\x20-\x7E]{12}")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs that are decoded in place: long ones, and short ones where a secret's name stands.
+_INLINE = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}={0,2}|[A-Za-z0-9+/_-]{6,15}={0,2}(?=[\"']?\x20*[:=]))")
+_PRINTED = re.compile(rb"[\t\n\r\x20-\x7E]+")
+_SEPARATOR = re.compile("[+/_-]")
+#: How compressed data begin in base64, from a place that is no byte's middle.
+_HEADS = ("H4sI", "eJ", "eA", "eN", "eF", "Qlpo", "/Td6", "_Td6")
+_STANDARD = {0x2D: "+", 0x5F: "/"}
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
 
 
@@ -196,6 +210,17 @@ def _bytes_layers(data: bytes, place: Callable[[], list[tuple[int, int]]]) -> It
         yield Layer(data.decode("latin-1"), [s for s, _ in spans], [e for _, e in spans])
 
 
+def _resolved(code: str, chain: bool) -> str:
+    """What an escape of a character stands for; a chain's last but one escape; nothing if it stands for none."""
+    if chain:
+        return code[: next(n for head, n in _ONCE.items() if code.startswith(head))]
+    if code[0] == "&" and code[1] != "#":
+        return html5.get(code[1:], "")
+    digits = code[2:].strip("{};")
+    value = int(digits[1:], 16) if digits[:1] in "xX" else int(digits, 10 if code[0] == "&" else 16)
+    return chr(value) if value < 0x110000 and not 0xD800 <= value < 0xE000 else ""
+
+
 def _unescaped(layer: Layer) -> Layer | None:
     """The whole layer with its escapes resolved in one pass; successive byte escapes make UTF-8 characters."""
     text, at = layer.text, 0
@@ -236,19 +261,18 @@ def _unescaped(layer: Layer) -> Layer | None:
         copy(at, m.start())
         at = m.end()
         code, span = m[0], layer.span(m.start(), m.end())
-        if code[0] == "%" or code[:2] == "\\x":
+        if not m["chain"] and (code[0] == "%" or code[:2] == "\\x"):
             data.append(int(code[-2:], 16))
             spans.append(span)
             found = True
             continue
         if data:
             flush()
-        digits = code[2:].strip("{};")
-        value = int(digits[1:], 16) if digits[:1] in "xX" else int(digits, 10 if code[0] == "&" else 16)
-        if value < 0x110000 and not 0xD800 <= value < 0xE000:
-            out.append(chr(value))
-            starts.append(span[0])
-            ends.append(span[1])
+        if made := _resolved(code, bool(m["chain"])):
+            out.append(made)
+            if layer.whole is None:
+                starts.extend([span[0]] * len(made))
+                ends.extend([span[1]] * len(made))
             found = True
         else:
             copy(m.start(), m.end())
@@ -260,10 +284,58 @@ def _unescaped(layer: Layer) -> Layer | None:
     return Layer("".join(out), starts, ends) if layer.whole is None else Layer("".join(out), whole=layer.whole)
 
 
+def _base64(run: str) -> bytes:
+    """The bytes of a run of the base64 alphabets; a last character that makes no byte is left out."""
+    body = run[: len(run) - (len(run) % 4 == 1)].translate(_STANDARD)
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _in_place(layer: Layer) -> Layer | None:
+    """The whole layer with its encoded runs that are printable text decoded where they stand."""
+    at, out, starts, ends = 0, [], [], []
+    for m in _INLINE.finditer(layer.text):
+        body = m[0].rstrip("=")
+        data, hexed = _base64(body), False
+        if _HEX_RUN.fullmatch(body) and _PRINTED.fullmatch(bytes.fromhex(body)):
+            data, hexed = bytes.fromhex(body), True
+        if not _PRINTED.fullmatch(data):
+            continue
+        place = None
+        if layer.whole is None:
+            place = _hex_places(layer, m.start(), len(data)) if hexed else _base64_places(layer, m.start(), len(body), m.end(), len(data))
+        for text, a, b in ((layer.text[at : m.start()], at, m.start()), (data.decode("ascii"), None, None)):
+            out.append(text)
+            if place is not None:
+                starts.extend([s for s, _ in place] if a is None else range(a, b) if layer.starts is None else layer.starts[a:b])
+                ends.extend([e for _, e in place] if a is None else range(a + 1, b + 1) if layer.ends is None else layer.ends[a:b])
+        at = m.end()
+    if not out:
+        return None
+    out.append(layer.text[at:])
+    if layer.whole is not None:
+        return Layer("".join(out), whole=layer.whole)
+    n = len(layer.text)
+    starts.extend(range(at, n) if layer.starts is None else layer.starts[at:])
+    ends.extend(range(at + 1, n + 1) if layer.ends is None else layer.ends[at:])
+    return Layer("".join(out), starts, ends)
+
+
+def _alignments(body: str) -> list[int]:
+    """Places of a run from which base64 may begin: its start, the first place of each other remainder modulo 4 that some
+    place behind a separator has, and places behind separators where compressed data seem to begin."""
+    behind = [m.end() for m in _SEPARATOR.finditer(body)]
+    out = {0} | {a % 4 for a in behind}
+    out |= {a for a in behind if a >= 4 and body.startswith(_HEADS, a) and _is_compressed(_base64(body[a : a + 64]))}
+    return sorted(a for a in out if len(body) - a >= 16)
+
+
 def _decoded(layer: Layer, done: set[tuple[str, bytes, int, int]]) -> Iterator[Layer]:
-    """The layers that a layer opens to: itself without escapes, and its encoded runs but those in done, which grows."""
+    """The layers that a layer opens to: itself without escapes, itself with what is encoded decoded in place, and its encoded
+    runs but those in done, which grows."""
     text = layer.text
-    if ("%" in text or "\\" in text or "&#" in text) and (inner := _unescaped(layer)):
+    if ("%" in text or "\\" in text or "&" in text and ";" in text) and (inner := _unescaped(layer)):
+        yield inner
+    if inner := _in_place(layer):
         yield inner
 
     def fresh(m: re.Match[str]) -> bool:  # a run may be both kinds
@@ -272,28 +344,29 @@ def _decoded(layer: Layer, done: set[tuple[str, bytes, int, int]]) -> Iterator[L
         done.add(key)
         return new
 
-    if not any(len(w) >= 16 and not (w.isalpha() and w[1:].islower()) for w in text.split()):
+    if not any(len(w) >= 16 for w in text.split()):
         return
     for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1 or body.isalpha() and body[1:].islower() or not fresh(m):
-            continue
-        try:
-            data = base64.b64decode(body.translate({0x2D: "+", 0x5F: "/"}) + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
-            continue
-        yield from _bytes_layers(data, functools.partial(_base64_places, layer, m, len(data)))
+        if fresh(m):
+            body = m[0].rstrip("=")
+            for a in _alignments(body):
+                data = _base64(body[a:])
+                yield from _bytes_layers(data, functools.partial(_base64_places, layer, m.start() + a, len(body) - a, m.end(), len(data)))
     for m in _HEX_RUN.finditer(text):
         if fresh(m):
             data = bytes.fromhex(m[0])
-            yield from _bytes_layers(data, lambda a=m.start(), n=len(data): [layer.span(a + 2 * i, a + 2 * i + 2) for i in range(n)])
+            yield from _bytes_layers(data, functools.partial(_hex_places, layer, m.start(), len(data)))
+
+
+def _hex_places(layer: Layer, a: int, n: int) -> list[tuple[int, int]]:
+    """The span of each of the n bytes of a hexadecimal run."""
+    return [layer.span(a + 2 * i, a + 2 * i + 2) for i in range(n)]
 
 
-def _base64_places(layer: Layer, m: re.Match[str], n: int) -> list[tuple[int, int]]:
-    """The span of each of the n bytes of a base64 run; that of the last has the padding."""
-    a, size = m.start(), len(m[0].rstrip("="))
+def _base64_places(layer: Layer, a: int, size: int, end: int, n: int) -> list[tuple[int, int]]:
+    """The span of each of the n bytes of a base64 run of size characters; that of the last has the padding up to end."""
     place = [layer.span(a + i * 4 // 3, a + min(size, ((i + 1) * 4 + 2) // 3)) for i in range(n)]
-    return [*place[:-1], (place[-1][0], layer.span(m.end() - 1, m.end())[1])]
+    return [*place[:-1], (place[-1][0], layer.span(end - 1, end)[1])]
 
 
 def spans(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
@@ -329,7 +402,7 @@ def scan(text: Column | str) -> Column:
         joined = lambda found: ",".join(f"{k}:{a}:{b}" for a, k, b in found)
         for column in batches:
             out = []
-            for t in texts_of(column):
+            for t in itertools.chain.from_iterable(run for _, run in by_bytes(column, 1 << 20)):
                 base, every = spans(t or "")
                 kinds = [k for _, k, _ in base]
                 out.append({f"n_{k}": kinds.count(k) for k in KINDS} | {"base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(every)})
