@@ -23,29 +23,45 @@ def upper_median(value: str) -> Column:
 def wilson(count: Column, n: Column) -> Column:
     """struct(point, low, high): the 95 % score interval of a proportion, null without trials."""
     p = F.try_divide(count, n)
-    scale = 1 + Z95**2 / n
     centre = F.try_divide(p + F.try_divide(F.lit(Z95**2), 2 * n), 1 + F.try_divide(F.lit(Z95**2), n))
     half = F.try_divide(F.lit(Z95) * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(Z95**2), 4 * n * n)), 1 + F.try_divide(F.lit(Z95**2), n))
-    del scale
     return F.struct(p.alias("point"), F.greatest(F.lit(0.0), centre - half).alias("low"), F.least(F.lit(1.0), centre + half).alias("high"))
 
 
-def portable_bootstrap(df: DataFrame, by: list[str], order: str, value: str, resamples: int, seed: str) -> DataFrame:
-    """by, n, point, low, high: the mean of value and the 2.5 and 97.5 percentiles of resampled means.
-
-    Draw i of resample r is row md5('seed:r:i') mod n in the group's order, so any engine with md5 gives the same draws.
-    Draws meet their values in a hash join on (group, row), and resamples are summed before they are shuffled.
-    """
+def drawn(df: DataFrame, by: list[str], order: str, resamples: int, seed: str) -> DataFrame:
+    """The rows of each resample r of each group. Draw i of resample r is row md5('seed:r:i') mod n in the group's order, so any
+    engine with md5 gives the same draws. Groups of one size have the same draws, which are made once for each size."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy(*by)
-    rows = df.select(*by, F.col(value).cast("double").alias("v"), (F.row_number().over(w.orderBy(order)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    draws = rows.select(*by, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    rows = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w).cast("int"))
+    sizes = rows.select(F.col("_n").alias("n")).distinct().select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    draws = sizes.select("n", "i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
     at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "r", "i")), 1, 8), 16, 10).cast("long")
-    drawn = draws.select(*by, "r", F.pmod(at, "n").cast("int").alias("i")).join(rows.select(*by, "i", "v"), [*by, "i"])
-    means = drawn.groupBy(*by, "r").agg(F.avg("v").alias("m"))
-    ends = means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("v").alias("point")).join(ends, by)
+    picks = draws.select(F.col("n").alias("_n"), "r", F.pmod(at, "n").cast("int").alias("_i"))
+    return picks.join(rows, ["_n", "_i"]).drop("_n", "_i")
+
+
+def portable_interval(df: DataFrame, by: list[str], order: str, statistic: Column, resamples: int, seed: str) -> DataFrame:
+    """by, n, point, low, high: a statistic (an aggregate over the columns of df) and the 2.5 and 97.5 percentiles of its resampled
+    values. A group is one sample of an evaluation; resamples are summed before they are shuffled."""
+    values = drawn(df, by, order, resamples, seed).groupBy(*by, "r").agg(statistic.alias("m"))
+    ends = values.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), statistic.alias("point")).join(ends, by)
+
+
+def portable_bootstrap(df: DataFrame, by: list[str], order: str, value: str, resamples: int, seed: str) -> DataFrame:
+    """portable_interval of the mean of value."""
+    return portable_interval(df.select(*by, order, F.col(value).cast("double").alias("v")), by, order, F.avg("v"), resamples, seed)
+
+
+def unpaired_interval(a: DataFrame, b: DataFrame, by: list[str], order: str, value: str, resamples: int, seed: str) -> DataFrame:
+    """by, n, point, low, high of the mean of a less the mean of b, each resampled on its own."""
+    sides = [df.select(*by, order, F.col(value).cast("double").alias("v")) for df in (a, b)]
+    means = [drawn(df, by, order, resamples, f"{seed}-{name}").groupBy(*by, "r").agg(F.avg("v").alias(name)) for df, name in zip(sides, ("left", "right"), strict=True)]
+    ends = means[0].join(means[1], [*by, "r"]).groupBy(*by).agg(*[F.percentile(F.col("left") - F.col("right"), F.lit(p)).alias(n) for n, p in (("low", 0.025), ("high", 0.975))])
+    points = [df.groupBy(*by).agg(F.count("*").alias(f"_n{i}"), F.avg("v").alias(f"_v{i}")) for i, df in enumerate(sides)]
+    return points[0].join(points[1], by).select(*by, (F.col("_n0") + F.col("_n1")).alias("n"), (F.col("_v0") - F.col("_v1")).alias("point")).join(ends, by)
 
 
 def numpy_bootstrap(df: DataFrame, by: list[str], order: str, value: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:

@@ -51,11 +51,18 @@ def date_forms(day: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """A cover page's date, ISO, 'Month d, yyyy', 'd Month yyyy' or m/d/yyyy; null for anything else."""
-    t = F.regexp_replace(clean(text), r"\s*,\s*", ", ")
-    forms = {r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd", r"^\p{L}+ \d{1,2}, \d{4}$": "MMMM d, yyyy", r"^\d{1,2} \p{L}+ \d{4}$": "d MMMM yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy"}
-    tried = F.initcap(t)
-    return F.coalesce(*[F.when(t.rlike(p), F.try_to_timestamp(tried, F.lit(f)).cast("date")) for p, f in forms.items()])
+    """A cover page's date: ISO, month day year or day month year with the month whole or abbreviated and the comma there or
+    not, or m/d/yyyy; null for anything else."""
+    t = F.lower(F.regexp_replace(clean(text), r"\s+,", ","))
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for n in ([m, m[:3], "Sept"] if i == 9 else [m, m[:3]] if m != "May" else [m]) for x in (n.lower(), str(i))])
+    part = lambda p, i: F.regexp_extract(t, p, i)
+    shapes = [
+        (r"^(\d{4})-(\d{2})-(\d{2})$", lambda p: (part(p, 1), part(p, 2), part(p, 3))),
+        (r"^([a-z]+)\.?\s+(\d{1,2}),?\s+(\d{4})$", lambda p: (part(p, 3), F.try_element_at(months, part(p, 1)), part(p, 2))),
+        (r"^(\d{1,2})\s+([a-z]+)\.?,?\s+(\d{4})$", lambda p: (part(p, 3), F.try_element_at(months, part(p, 2)), part(p, 1))),
+        (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", lambda p: (part(p, 3), part(p, 1), part(p, 2))),
+    ]
+    return F.coalesce(*[F.when(t.rlike(p), F.try_to_date(F.concat_ws("-", *of(p)), "y-M-d")) for p, of in shapes])
 
 
 def statement_titles(text: Column) -> Column:
@@ -81,12 +88,6 @@ def printed_as(kind: Column, printed: Column, truth: Column, scale: Column, shar
     return F.when(kind == "per_share", F.abs(printed - F.abs(truth)) <= 0.005).otherwise(exact)
 
 
-def money_scale(text: Column) -> Column:
-    """1000, 1e6 or 1e9 where a heading declares '(in thousands ...)' and the like, else 1."""
-    word = F.lower(F.regexp_extract(text, r"(?i)\b(?:in|\$)\s*(thousands|millions|billions)\b", 1))
-    return F.when(word == "thousands", 1e3).when(word == "millions", 1e6).when(word == "billions", 1e9).when(text.rlike(r"(?i)000['’]?s?\s+omitted"), 1e3).otherwise(1.0)
-
-
 def percent(value: Column, places: int = 1) -> Column:
     return F.format_string(f"%.{places}f%%", value * 100)
 

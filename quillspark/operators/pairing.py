@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grading import normalise_name
+from ..functions.grading import normalise_name, tolerance
 from ..functions.text import date_forms, printed_as, printed_numbers, share_count_row
 from ..schema import FIELDS, FISCAL_PERIODS, REQUIRED
 from ..sources.markup import STATES
@@ -44,6 +44,22 @@ def number_printed(kind: Column, truth: Column, numbers: Column, scale: Column,
     return F.exists(numbers, lambda n: printed_as(kind, n, truth, scale, share_scale))
 
 
+def near_printed(kind: Column, value: Column, numbers: Column, scale: Column, share_scale: Column) -> Column:
+    """Whether a printed number lies within the grader's tolerance of a value."""
+    unit = F.when(kind == "per_share", F.lit(1.0)).when(kind == "share_count", F.coalesce(share_scale, scale)).otherwise(scale)
+    return F.exists(numbers, lambda n: F.abs(n * unit - F.abs(value)) <= tolerance(kind, value, scale, share_scale))
+
+
+def printed_synonym(kind: str, value: Column, others: Column, numbers: Column, scale: Column, share_scale: Column) -> Column:
+    """value if it is printed; else the first of the other values filed for the same period that is, unless value is near a printed
+    number and the other isn't the same line's; else value."""
+    k = F.lit(kind)
+    near = near_printed(k, value, numbers, scale, share_scale)
+    fits = lambda o: number_printed(k, o, numbers, scale, share_scale) & (~near | (F.abs(o - value) <= tolerance(k, value, scale, share_scale)))
+    first = F.try_element_at(F.filter(F.coalesce(others, F.array().cast("array<double>")), fits), F.lit(1))
+    return F.when(value.isNull() | number_printed(k, value, numbers, scale, share_scale), value).otherwise(F.coalesce(first, value))
+
+
 def locatable(name: str, kind: str, value: Column, cover: Column, income: Column, balance: Column, auditor: Column, income_rows: Column, scale: Column, share_scale: Column) -> Column:
     """Whether a field's truth is printed in the section that it is read from."""
     section = {"cover": cover, "income": income, "balance": balance, "auditor": auditor}[next(f[2] for f in FIELDS if f[0] == name)]
@@ -82,9 +98,15 @@ def drop_reason(has_document: Column, industry_bank: Column, period_end: Column,
 
 def pair(filings: DataFrame) -> DataFrame:
     """filings (accession, has_document, bank, readable, period_end, fiscal_period, truth, cover, income and balance as
-    struct(text, rows, scale, declared, share_scale), auditor) with scale, share_scale, not_on_page and drop_reason."""
+    struct(text, rows, scale, declared, share_scale), auditor, and maybe synonyms, a map of field to the other values filed for
+    the period) with truth as the page prints it, scale, share_scale, not_on_page and drop_reason."""
     scale = F.coalesce(F.when(F.col("income.declared"), F.col("income.scale")), F.when(F.col("balance.declared"), F.col("balance.scale")), F.lit(1.0))
     out = filings.withColumn("scale", scale).withColumn("share_scale", read_share_scale(F.col("truth.shares_diluted"), F.col("income.rows"), F.col("scale"), F.col("income.share_scale")))
+    if "synonyms" in filings.columns:
+        text = {"income": "income.text", "balance": "balance.text"}
+        numbers = lambda kind, section: share_numbers(F.col("income.rows")) if kind == "share_count" else printed_numbers(F.col(text[section]))
+        new = [printed_synonym(k, F.col(f"truth.{n}"), F.col("synonyms")[n], numbers(k, s), F.col("scale"), F.col("share_scale")).alias(n) if s in text else F.col(f"truth.{n}").alias(n) for n, k, s, *_ in FIELDS]
+        out = out.withColumn("truth", F.when(F.col("income").isNotNull() & F.col("balance").isNotNull(), F.struct(*new)).otherwise(F.col("truth")))
     found = {n: locatable(n, k, F.col(f"truth.{n}"), F.col("cover"), F.col("income.text"), F.col("balance.text"), F.col("auditor"), F.col("income.rows"), F.col("scale"), F.col("share_scale")) for n, k, *_ in FIELDS}
     lost = {n: F.col(f"truth.{n}").isNotNull() & ~F.coalesce(f, F.lit(False)) for n, f in found.items()}
     absent = {n: lost[n] & ~F.coalesce(line_printed(F.col("income.rows")), F.lit(False)) for n in NULL_WHEN_ABSENT}

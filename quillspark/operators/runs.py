@@ -59,10 +59,10 @@ def require_disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
         raise ValueError(f"{both[0][0]} is on both sides; compare them paired")
 
 
-def differing_keys(a: DataFrame, b: DataFrame, keys: list[str], on: Column | None = None) -> DataFrame:
-    """(differing): which manifest keys differ, null equal to null."""
+def differing_keys(a: DataFrame, b: DataFrame, keys: list[str], on: Column) -> DataFrame:
+    """(differing): which manifest keys differ, null equal to null, between rows a and b that on matches."""
     left, right = a.alias("a"), b.alias("b")
-    joined = left.join(right, on if on is not None else F.lit(True))
+    joined = left.join(right, on)
     return joined.select(F.filter(F.array(*[F.when(~F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")), F.lit(k)) for k in keys]), lambda k: k.isNotNull()).alias("differing"))
 
 
@@ -78,7 +78,7 @@ def load_summary(timings: DataFrame, by: list[str], warmup: float) -> DataFrame:
 
     Requests sent before the first plus warmup are cut; failures count as errors and as nothing served."""
     start = timings.groupBy(*by).agg(F.min("sent_at").alias("_t0"))
-    kept = timings.join(F.broadcast(start), by).where(F.col("sent_at") >= F.col("_t0") + F.lit(warmup))
+    kept = timings.join(start, by).where(F.col("sent_at") >= F.col("_t0") + F.lit(warmup))
     ttft, e2e = (F.col("first_token_at") - F.col("sent_at")) * 1000, (F.col("done_at") - F.col("sent_at")) * 1000
     kept = kept.withColumn("ttft", F.when(F.col("ok"), ttft)).withColumn("e2e", F.when(F.col("ok"), e2e))
     window = F.max("done_at") - F.min("sent_at")

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import keyed_rank
+from ..functions.ranking import numbered
 from ..schema import SPLITS
 
 
 def assign_pools(filings: DataFrame, key: str, stratum: str, seed: str = "20270405", test: float = 0.2, validation: float = 0.1, rank: Column | None = None) -> DataFrame:
     """(stratum, key, pool): each company in one pool; in a stratum of n, the first round(n test) by rank are test (one at
-    least, if n > 1), the next round(n validation) validation. Halves round to even."""
+    least, if n > 1), the next round(n validation) validation. Halves round to even. A rank given must be text whose order is its rank."""
     if not 0 < test < 1 or not 0 <= validation < 1 or test + validation >= 1:
         raise ValueError("the fractions must lie in (0, 1) and leave training data")
     companies = filings.select(stratum, key).distinct()
-    w = Window.partitionBy(stratum)
-    ranked = companies.withColumn("_i", F.row_number().over(w.orderBy(rank if rank is not None else keyed_rank(seed, key), key))).withColumn("_n", F.count("*").over(w))
+    companies = companies.withColumn("_rank", rank if rank is not None else keyed_rank(seed, key))
+    ranked = numbered(companies, [stratum], F.substring("_rank", 1, 2), [F.col("_rank"), F.col(key)], "_i", "_n")
     n_test = F.when(F.col("_n") >= 2, F.greatest(F.bround(F.col("_n") * F.lit(test)), F.lit(1.0))).otherwise(F.bround(F.col("_n") * F.lit(test)))
     n_validation = F.bround(F.col("_n") * F.lit(validation))
     pool = F.when(F.col("_i") <= n_test, "test").when(F.col("_i") <= n_test + n_validation, "validation").otherwise("train")

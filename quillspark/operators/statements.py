@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import clean, numeric_cells, resolved_titles, statement_titles
+from ..functions.text import NUMBER, clean, numeric_cells, resolved_titles, statement_titles
 
 # The lines that statements carry (the first of each must be there), and the wordings around them.
 SIGNATURES = {
@@ -19,6 +19,7 @@ TENURE = r"(?i)served\s+as\s+[^.]{0,80}?(?:auditors?|accounting\s+firm)\s+(?:of\
 MONEY_SCALE = r"(?i)\bin\s+(thousands|millions|billions)\b|\b(thousands|millions|billions)\s+of\s+(?:u\.?s\.?\s+)?dollars\b"
 OMITTED = r"(?i)\b000['’]?s\s+omitted|\bin\s+\$\s*000['’]?s\b"
 SHARE_SCALE = r"(?i)\bshares?\b[^)]{0,40}?\bin\s+(thousands|millions|billions)\b"
+EXCEPTED, PER_SHARES, SHARES = r"(?i)\bexcept\b([^)]*)", r"(?i)per[\s-]+shares?\b", r"(?i)\bshares?\b"
 LABEL_SCALE = r"(?i)\((?:in\s+)?(thousands|millions)\)|\bin\s+(thousands|millions)\b|\(000['’]?s\)"
 HEADING_BLOCKS, HEADING_CHARS, LEAST_SIGNATURES, LEAST_CELLS, TITLE_WEIGHT = 4, 300, 3, 5, 3
 COVER_CHARS, COVER_LEAST = 5000, 200
@@ -40,8 +41,8 @@ def scales(text: Column) -> Column:
     word = F.coalesce(*[F.nullif(F.regexp_extract(text, MONEY_SCALE, i), F.lit("")) for i in (1, 2)])
     scale = F.when(word.isNotNull(), _scale_of(word)).when(text.rlike(OMITTED), 1e3)
     own = F.nullif(F.regexp_extract(text, SHARE_SCALE, 1), F.lit(""))
-    clause = F.regexp_extract(text, r"(?i)\bexcept\b([^)]*)", 1)
-    excepted = F.regexp_replace(clause, r"(?i)per[\s-]+shares?\b", "").rlike(r"(?i)\bshares?\b")
+    clause = F.regexp_extract(text, EXCEPTED, 1)
+    excepted = F.regexp_replace(clause, PER_SHARES, "").rlike(SHARES)
     share = F.when(own.isNotNull(), _scale_of(own)).when(scale.isNotNull() & excepted, 1.0)
     return F.struct(F.coalesce(scale, F.lit(1.0)).alias("scale"), scale.isNotNull().alias("declared"), share.alias("share_scale"))
 
@@ -149,7 +150,7 @@ def lines_with_sections(texts: DataFrame, key: str, text: str, header: str = r"^
 
 def closest_numbers(lines: DataFrame, key: str, truth: str, unit: str, most: int = 3) -> DataFrame:
     """(key, line_no, printed, off, place): the printed numbers nearest a truth, page order among equals, at most three."""
-    printed = F.explode(F.transform(F.regexp_extract_all("line", F.lit(r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"), F.lit(0)), lambda s: F.replace(s, F.lit(","), F.lit("")).cast("double")))
+    printed = F.explode(F.transform(F.regexp_extract_all("line", F.lit(NUMBER), F.lit(0)), lambda s: F.replace(s, F.lit(","), F.lit("")).cast("double")))
     found = lines.select(key, "line_no", truth, unit, printed.alias("printed")).withColumn("off", F.abs(F.col("printed") * F.col(unit) - F.abs(F.col(truth))))
     place = F.row_number().over(Window.partitionBy(key).orderBy("off", "line_no"))
     return found.withColumn("place", place).where(F.col("place") <= most).select(key, "line_no", "printed", "off", "place")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import costing, grading, hashing, statistics, text
+from ..sources.sinks import shared_dir
 from ..operators import facts, reports, runs, sampling, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,25 +263,18 @@ _BOOT_SQL = """with v as (select g, i, n, v from (select g, v, row_number() over
   select {3}, n, round(point, 6) point, round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high from m join (select g, count(*) n, avg(v) point from v group by 1) using (g) group by all"""
 
 
-@_query(_BOOT_SQL.format("select 'all' g, doc_id k, (quality - toxic)::double v from labels", "delta", 60, "g"))
+@_query(_BOOT_SQL.format("select 'all' g, doc_id k, (quality - toxic)::double v from labels", "delta", 10_000, "g"))
 def paired_delta_interval(spark: SparkSession, d: str) -> DataFrame:
     """A7, A8, A9 with portable draws."""
     rows = table(spark, d, "labels").select(F.lit("all").alias("g"), "doc_id", (F.col("quality") - F.col("toxic")).alias("v"))
-    return statistics.portable_bootstrap(rows, ["g"], "doc_id", "v", 60, "delta").select("g", "n", *[F.round(c, 6).alias(c) for c in ("point", "low", "high")])
-
-
-@_query(_BOOT_SQL.format("select user_id g, event_id k, value v from events", "latency", 20, "g"))
-def mean_interval_by_user(spark: SparkSession, d: str) -> DataFrame:
-    """A16's mean by group, with portable draws."""
-    rows = table(spark, d, "events").select(F.col("user_id").alias("g"), "event_id", F.col("value").alias("v"))
-    return statistics.portable_bootstrap(rows, ["g"], "event_id", "v", 20, "latency").select("g", "n", *[F.round(c, 6).alias(c) for c in ("point", "low", "high")])
+    return statistics.portable_bootstrap(rows, ["g"], "doc_id", "v", 10_000, "delta").select("g", "n", *[F.round(c, 6).alias(c) for c in ("point", "low", "high")])
 
 
 @_query()
 def mean_interval_numpy(spark: SparkSession, d: str) -> DataFrame:
     """A7 with numpy's generator, which SQL can't draw from; tests hold it against numpy."""
     rows = table(spark, d, "events").select("event_type", "event_id", "value")
-    return statistics.numpy_bootstrap(rows, ["event_type"], "event_id", "value", 500)
+    return statistics.numpy_bootstrap(rows, ["event_type"], "event_id", "value", 10_000)
 
 
 @_query("""select count(*) teacher_errors, count(*) filter (toxic = 1 and quality = 0) repeated, round(count(*) filter (toxic = 1 and quality = 0) / greatest(count(*), 1), 6) share from labels where quality = 0""")
@@ -480,17 +474,17 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks(table(spark, d, "pages").select("page_id", "html")).select("page_id", "idx", F.coalesce("text", F.array_join(F.transform("rows", lambda r: F.array_join(r, " | ")), "\n")).alias("shown"))
 
 
-@_query()
+@_query("select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
 def stream_latest_wins(spark: SparkSession, d: str) -> DataFrame:
-    """The event log as a file stream, run to its end; tests hold it against the batch form."""
+    """Latest wins (W5) with the event log as a file stream, run to its end."""
     import uuid
 
     from ..streaming import logs
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/checkpoints').rstrip('/')}/latest-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/latest-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
-    query = logs.latest_by_key(logs.read_log(spark, d, schema, names="events.parquet"), "user_id", "event_id", f"{base}/out", f"{base}/state", f"latest_{uuid.uuid4().hex}")
-    return logs.read_latest(spark, f"{base}/out", query).select("user_id", "event_id", "event_type")
+    logs.latest_by_key(logs.read_log(spark, d, schema, names="events.parquet"), "user_id", "event_id", f"{base}/out", f"{base}/state", f"latest_{uuid.uuid4().hex}")
+    return logs.read_latest(spark, f"{base}/out").select("user_id", "event_id", "event_type")
 
 
 @_query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2")

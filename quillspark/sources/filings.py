@@ -43,27 +43,28 @@ def read_form_index(spark: SparkSession, path: str, forms: list[str] | None = No
 
 
 def company_facts(payloads: DataFrame, value: str = "value") -> DataFrame:
-    """One row per reported value: concept, unit, num_value, str_value, start, end, accession, form, filed.
+    """One row per reported value: ordinal, concept, unit, num_value, str_value, start, end, accession, form, filed. The ordinal
+    is the place of a value among its concept's.
 
     Taxonomy, concept, unit and entry are four explodes; entries without end, accession or value are skipped; filed is the
     end where absent. Strings and numbers are told apart by their JSON.
     """
     tree = payloads.select("*", F.from_json(F.get_json_object(value, "$.facts"), FACTS).alias("_f"))
-    out = tree.select("*", F.explode("_f").alias("_taxonomy", "_c")).select("*", F.explode("_c").alias("_concept", "_u")).select("*", F.explode("_u.units").alias("unit", "_e")).select("*", F.explode("_e").alias("_x"))
+    out = tree.select("*", F.explode("_f").alias("_taxonomy", "_c")).select("*", F.explode("_c").alias("_concept", "_u")).select("*", F.posexplode("_u.units").alias("_unit", "unit", "_e")).select("*", F.posexplode("_e").alias("_at", "_x"))
     out = out.where("_x.end is not null and _x.accn is not null and _x.val is not null")
     number = F.expr("try_cast(_x.val as double)")
     return out.select(
-        F.concat_ws(":", "_taxonomy", "_concept").alias("concept"), "unit", number.alias("num_value"), F.when(number.isNull(), F.col("_x.val")).alias("str_value"),
+        (F.col("_unit") * 1_000_000 + F.col("_at")).cast("int").alias("ordinal"), F.concat_ws(":", "_taxonomy", "_concept").alias("concept"), "unit", number.alias("num_value"), F.when(number.isNull(), F.col("_x.val")).alias("str_value"),
         F.col("_x.start").cast("date").alias("start"), F.col("_x.end").cast("date").alias("end"), F.col("_x.accn").alias("accession"), F.coalesce("_x.form", F.lit("")).alias("form"),
         F.coalesce("_x.filed", "_x.end").cast("date").alias("filed"),
     )
 
 
-def primary_documents(payloads: DataFrame, value: str = "value") -> DataFrame:
-    """(accession, document) of a filing history's parallel columns, cut to the shorter; empty documents are skipped."""
-    h = payloads.select(F.from_json(F.get_json_object(value, "$.filings"), HISTORY)["recent"].alias("r"))
+def primary_documents(payloads: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep and (accession, document) of a filing history's parallel columns, cut to the shorter; empty documents are skipped."""
+    h = payloads.select(*keep, F.from_json(F.get_json_object(value, "$.filings"), HISTORY)["recent"].alias("r"))
     pairs = F.arrays_zip(F.col("r.accessionNumber").alias("accession"), F.col("r.primaryDocument").alias("document"))
-    return h.select(F.inline(pairs)).where("accession is not null and document is not null and document != ''")
+    return h.select(*keep, F.inline(pairs)).where("accession is not null and document is not null and document != ''")
 
 
 def history_pages(payloads: DataFrame, since: str, value: str = "value") -> DataFrame:
@@ -105,12 +106,26 @@ def verdict_sheet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("n int, item_id string, split string, form string, fiscal_period string, verdict string, wrong_fields string, note string").csv(path, header=True)
 
 
+# A gate decision's headline, and a suite's row.
+HEADLINE, SUITE = r"^## Gate: ([A-Z]+)", r"^\| ([a-z_]+) \| \d+ \|.*\| (pass|block|warn) \|$"
+
+
 def gate_decisions(spark: SparkSession, root: str) -> DataFrame:
-    """(candidate, baseline, verdict, line) of decision texts; the directory 'a-vs-b' names both, split at its last '-vs-'."""
+    """(candidate, baseline, verdict, suites, blocked) of decision texts; the directory 'a-vs-b' names both, split at its last
+    '-vs-', and blocked lists the fields whose suite blocks, joined by commas."""
     lines = spark.read.text(f"{root}/*/decision.txt").select("value", F.regexp_extract("_metadata.file_path", r"([^/]+)/decision\.txt$", 1).alias("dir"))
-    return lines.where(F.col("value").rlike(r"(?i)^\s*(?:decision|verdict)?:?\s*(?:pass|block)\b")).select(
-        F.regexp_extract("dir", "^(.+)-vs-(.+)$", 1).alias("candidate"), F.regexp_extract("dir", "^(.+)-vs-(.+)$", 2).alias("baseline"), F.lower(F.regexp_extract("value", r"(?i)\b(pass|block)\b", 1)).alias("verdict"), F.col("value").alias("line"),
-    )
+    headline, field, said = (F.nullif(F.regexp_extract("value", p, i), F.lit("")) for p, i in ((HEADLINE, 1), (SUITE, 1), (SUITE, 2)))
+    found = lines.groupBy("dir").agg(F.lower(F.min(headline)).alias("verdict"), F.count(field).alias("suites"), F.array_join(F.array_sort(F.collect_set(F.when(said == "block", field))), ",").alias("blocked"))
+    part = lambda i: F.regexp_extract("dir", "^(.+)-vs-(.+)$", i)
+    return found.where("verdict is not null and suites > 0").select(part(1).alias("candidate"), part(2).alias("baseline"), "verdict", "suites", "blocked")
+
+
+def price_entries(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(gpu, provider, kind, usd_per_hour, checked, source) of a price list's text: '- key: value' begins an entry and 'key: value'
+    goes on with it, in files read whole (one row per file)."""
+    entries = lines.select(F.explode(F.filter(F.split(value, r"(?m)^\s*-\s+"), lambda e: e.rlike(r"(?m)^\s*gpu:"))).alias("e"))
+    of = lambda key: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("e", rf"(?m)^\s*{key}:\s*([^\n#]*)", 1), "[\"']", "")), F.lit(""))
+    return entries.select(of("gpu").alias("gpu"), of("provider").alias("provider"), of("kind").alias("kind"), of("usd_per_hour").cast("double").alias("usd_per_hour"), F.try_to_date(of("checked"), "yyyy-MM-dd").alias("checked"), of("source").alias("source"))
 
 
 def cached_responses(spark: SparkSession, root: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from conftest import SMALL
 from oracle import differences
 
-from quillspark.plans.queries import QUERIES, SQL
+from quillspark.plans import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
