@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import itertools
 import os
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +27,48 @@ _FOLD = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir. Only a local session without one (tests) gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: What a worker keeps between tasks: the state of the operator that it last worked for.
+_RESIDENT: dict = {}
+
+
+def trim() -> None:
+    """Gives unused memory of this process back."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def resident(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What make gives, kept under key until a worker needs another key's, so states never add up in a worker."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        trim()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def lean(of: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """The function of an iterator of batches, with the worker's unused memory given back at the end of its task."""
+
+    @functools.wraps(of)
+    def run(batches: Iterator) -> Iterator:
+        yield from of(batches)
+        trim()
+
+    return run
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder, so lost executors cost no recomputation of it."""
     sc = df.sparkSession.sparkContext

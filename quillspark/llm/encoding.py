@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_ENCODERS: dict[tuple, Encoder] = {}
+from .common import resident
 
 #: Bytes of text to a run, from which texts are split, and bytes that a memo of unusual strings may hold.
 RUN = 1 << 19
@@ -279,10 +279,8 @@ def _is_word_vocabulary(path: str) -> bool:
 
 def encoder(path: str, ids: bool) -> Encoder:
     """The worker's encoder of a tokenizer file; it holds some 60 MB at most."""
-    if (path, ids) not in _ENCODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path, ids] = (WordEncoder if not path.endswith(".model") and _is_word_vocabulary(path) else Encoder)(path, ids)
-    return _ENCODERS[path, ids]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return resident(("encoder", path, ids), lambda: (WordEncoder if not path.endswith(".model") and _is_word_vocabulary(path) else Encoder)(path, ids))
 
 
 def token_counts(texts: pa.Array, path: str) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, with_results
+from .common import by_bytes, lean, with_results
 
 # Elements of HTML by their part in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -382,6 +382,7 @@ def visible_text(html: Column | str) -> Column:
     """The visible text of each page."""
 
     @F.arrow_udf("string")
+    @lean
     def shown(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             yield pa.array([render(h) for _, run in by_bytes(column, 1 << 20) for h in run], pa.string())

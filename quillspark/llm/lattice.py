@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, crc_bucket, vocabulary_path, written
+from .common import by_bytes, crc_bucket, lean, resident, vocabulary_path, written
 
 FREQUENT, ROUNDS = 300_000, 3
 #: Lengths above which a word's lattice is walked alone, and words of one length that are walked at a time.
 LONG, TOGETHER = 192, 20_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_STATE: dict[str, Any] = {}
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -160,10 +159,7 @@ class Lattice:
 
 
 def _lattice(pieces: Any, weights: Any, name: str) -> Lattice:
-    if name not in _STATE:
-        _STATE.clear()
-        _STATE[name] = Lattice(pieces.value, weights.value)
-    return _STATE[name]
+    return resident(name, lambda: Lattice(pieces.value, weights.value))
 
 
 def count_words(docs: DataFrame, text: str, train: str, most: int = 400_000) -> DataFrame:
@@ -187,7 +183,7 @@ def count_words(docs: DataFrame, text: str, train: str, most: int = 400_000) ->
                         yield from sums()
         yield from sums()
 
-    found = docs.select(train, text).mapInArrow(count, "word binary, n_train bigint, n_all bigint")
+    found = docs.select(train, text).mapInArrow(lean(count), "word binary, n_train bigint, n_all bigint")
     return found.groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
 
 
@@ -211,7 +207,7 @@ def fit(words: DataFrame, n_ends: int, path: str, rounds: int = ROUNDS) -> tuple
             found = np.flatnonzero(expected)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(expected[found])], names=["piece", "n"])
 
-        table = learned.mapInArrow(expect, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        table = learned.mapInArrow(lean(expect), "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
         counts = np.full(n_pieces, 0.1)
         counts[table.column("piece").to_numpy()] += table.column("n").to_numpy()
         total = counts.sum() + n_ends + 0.1
@@ -240,7 +236,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_f
             s = _lattice(shared, log_shared, name).score(batch.column(0).to_pylist()) / math.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.log10(c + 1.0) - floor), pa.array(s)], names=["word", "n_train", "n_all", "base", "score"])
 
-    rated = written(words.mapInArrow(rate, "word binary, n_train bigint, n_all bigint, base double, score double"), "rated")
+    rated = written(words.mapInArrow(lean(rate), "word binary, n_train bigint, n_all bigint, base double, score double"), "rated")
     sizes = sorted(((r.n_all, r["count"]) for r in rated.groupBy("n_all").count().where(F.col("n_all") > 1).collect()), reverse=True)
     reached = list(itertools.takewhile(lambda x: x[1] <= frequent, zip((n for n, _ in sizes), itertools.accumulate(c for _, c in sizes), strict=True)))
     least = reached[-1][0] if reached else 1 << 62
@@ -251,10 +247,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_f
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if name2 not in _STATE:
-            _STATE.clear()
-            _STATE[name2] = ({w: i for i, w in enumerate(table.value[0])}, np.concatenate([table.value[1], np.zeros((3, 1))], axis=1))
-        place, known = _STATE[name2]
+        place, known = resident(name2, lambda: ({w: i for i, w in enumerate(table.value[0])}, np.concatenate([table.value[1], np.zeros((3, 1))], axis=1)))
         last = known.shape[1] - 1
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -281,7 +274,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_f
                 )
 
     names = ["row", "word", "n", "key", "held_out", "known", "base", "score"]
-    scanned = written(rows.mapInArrow(scan, f"row bigint, word binary, n bigint, key {kind}, held_out boolean, known double, base double, score double"), "scanned")
+    scanned = written(rows.mapInArrow(lean(scan), f"row bigint, word binary, n bigint, key {kind}, held_out boolean, known double, base double, score double"), "scanned")
     whole = scanned.where("word is null").select("row", "n", "key", "held_out", "known", "base", "score")
     rare = scanned.where("word is not null").select("row", "word", "n").join(rated.where(F.col("n_all") < least).select("word", (F.col("n_train") > 0).cast("double").alias("known"), "base", "score"), "word")
     # a row's sums need neither its id nor its text, so the two meet by the row's number

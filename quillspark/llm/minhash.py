@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, by_bytes, held, mix64, restored, written
+from .common import _FOLD, by_bytes, held, lean, mix64, restored, written
 from .components import FEW, components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -147,8 +147,10 @@ def content(text: Column | str) -> Column:
     """A 128-bit hash of a text's words; null without words."""
 
     @F.arrow_udf("binary")
-    def digest(texts: pa.Array) -> pa.Array:
-        return pa.array([x for run in _runs(texts) for x in _content(run)], pa.binary())
+    @lean
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([x for run in _runs(texts) for x in _content(run)], pa.binary())
 
     return digest(text)
 
@@ -157,6 +159,7 @@ def sketch(text: Column | str, bands: int = BANDS, width: int = ROWS, weighted:
     """struct(content, bands): the hash of a text's words, and the hashes of its signature's bands."""
 
     @F.arrow_udf("struct<content:binary,bands:array<bigint>>")
+    @lean
     def draw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             contents, hashes = [], []

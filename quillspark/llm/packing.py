@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import vocabulary_path
+from .common import lean, vocabulary_path
 from .encoding import token_ids
 
 #: Bins that may be open at once in a group, and documents to a group.
@@ -37,6 +37,7 @@ def pieces(text: Column | str, path: str, size: int, end_id: int) -> Column:
     """The pieces of each text: ids plus end_id, cut every size ids."""
 
     @F.arrow_udf(_PIECES)
+    @lean
     def cut_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         end = np.array([end_id], dtype="<u4")
         for column in batches:

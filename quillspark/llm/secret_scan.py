@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, with_results
+from .common import by_bytes, lean, with_results
 
 KINDS = ("assign", "access", "hex")
 #: Compressed data are opened and searched in pieces of about PIECE bytes. A piece grows up to OPENED bytes while it has no
@@ -398,6 +398,7 @@ def scan(text: Column | str) -> Column:
     """struct(n_assign, n_access, n_hex, base_sha256, spans) of each text."""
 
     @F.arrow_udf("struct<n_assign:bigint,n_access:bigint,n_hex:bigint,base_sha256:string,spans:string>")
+    @lean
     def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         joined = lambda found: ",".join(f"{k}:{a}:{b}" for a, k, b in found)
         for column in batches:

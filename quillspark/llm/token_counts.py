@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import encoding
-from .common import vocabulary_path, with_results
+from .common import lean, vocabulary_path, with_results
 
 
 def n_tokens(text: Column | str, path: str) -> Column:
     """Token counts of a text column by the tokenizer file at path (.json or .model)."""
 
     @F.arrow_udf("bigint")
+    @lean
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             yield pa.array(encoding.token_counts(column, path))

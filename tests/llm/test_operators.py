@@ -22,7 +22,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quillspark.llm import components, decontamination, encoding, lattice, minhash, packing, personal_data, quality_rules, secret_scan
+from quillspark.llm import common, components, decontamination, encoding, lattice, minhash, packing, personal_data, quality_rules, secret_scan
 from quillspark.llm.common import vocabulary_path
 from quillspark.llm.html_text import render
 from quillspark.llm.queries import queries
@@ -57,7 +57,7 @@ def test_encoding_is_the_library_s(texts):
 def test_encoding_with_a_crowded_cache(docs, library, monkeypatch, slots_log2, memo):
     monkeypatch.setattr(encoding, "SLOTS_LOG2", slots_log2)
     monkeypatch.setattr(encoding, "MEMO_BYTES", memo)
-    monkeypatch.setattr(encoding, "_ENCODERS", {})
+    monkeypatch.setattr(common, "_RESIDENT", {})
     texts = [t for t in docs.values() if t and len(t) < 3000] + ["don't " * 40 + "x" * 30 + " é" * 9]
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     for _ in range(2):
