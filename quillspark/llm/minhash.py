@@ -1,18 +1,19 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-A document is the set (or, with weights, the bag) of its five-word shingles. Darts are thrown by hash at the unit cells
+A document is the bag of its five-word shingles (or, unweighted, their set). Darts are thrown by hash at the unit cells
 of the plane of weight and rank above each shingle; those below the shingle's weight and the document's rank limit hit it,
-and each of K coordinates keeps its earliest dart. Signatures of sets that share a part s of their weight agree in a
+and each of K coordinates keeps its earliest dart. Signatures of bags that share a part s of their weight agree in a
 coordinate with probability s. ROWS coordinates make a band, and documents that share a band are candidates.
 
 Candidate links are stars, never all pairs of a bucket: members are compared with the bucket's most connected member, by
-exact Jaccard similarity of the whole texts. Members of buckets that are then still of several components are compared
-across components block by block, inside tasks that return links only, so no link found by a band is lost. Copies are one
-node.
+exact weighted Jaccard similarity of the whole texts. Where a bucket is then still of several components, its members outside
+the largest component are compared with all others, block by block, inside tasks that return links only, one for two components
+at most; so no link found by a band is lost, and what is copied grows with the members that are still apart. Copies are one node.
 
 Defined results: a text of 1 to 4 words is one shingle of all of them; null and wordless texts are never duplicates, each
-is its own class; repeated rows are copies; null ids take part, and a class whose ids are all null has a null id; other
-columns are not looked at and may have any name; empty tables give empty results.
+is its own class; very long texts are compared whole; repeated rows are copies; equal ids tie, and the least stands for its
+class; null ids take part, and a class whose ids are all null has a null id; other columns are not looked at and may have any
+name; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, by_bytes, held, lean, mix64, restored, written
+from .common import _FOLD, bounded_batches, by_bytes, held, lean, mix64, restored, trim, written
 from .components import FEW, components
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and the coordinates of each: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**24, 0.99993.
 BANDS, ROWS = 24, 5
-#: Members and bytes of text to a block of a bucket whose components are compared.
+#: Members and bytes of text to a block of a bucket whose components are compared with each other.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Standard deviations that a signature's agreement may fall below the similarity before a pair isn't looked at.
 SLACK = 4.0
@@ -155,7 +156,7 @@ def content(text: Column | str) -> Column:
     return digest(text)
 
 
-def sketch(text: Column | str, bands: int = BANDS, width: int = ROWS, weighted: bool = False) -> Column:
+def sketch(text: Column | str, bands: int = BANDS, width: int = ROWS, weighted: bool = True) -> Column:
     """struct(content, bands): the hash of a text's words, and the hashes of its signature's bands."""
 
     @F.arrow_udf("struct<content:binary,bands:array<bigint>>")
@@ -175,71 +176,104 @@ def sketch(text: Column | str, bands: int = BANDS, width: int = ROWS, weighted:
     return draw(text)
 
 
-def similarity(a: Column | str, b: Column | str) -> Column:
-    """Exact Jaccard similarity of the shingle sets of two texts."""
+def _bags(texts: list[str | None], weighted: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(shingles, weights) of each text."""
+    doc, x, n = shingles(texts)
+    n = n if weighted else np.ones_like(n)
+    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [(x[a:b], n[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    """(weight shared, weight in all) of two bags."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = int(np.minimum(a[1][i], b[1][j]).sum())
+    return both, int(a[1].sum() + b[1].sum()) - both
+
+
+def similarity(a: Column | str, b: Column | str, weighted: bool = True) -> Column:
+    """Exact weighted Jaccard similarity of the shingles of two texts."""
 
     @F.arrow_udf("double")
-    def jaccard(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def compare(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            out, last, own = [], None, np.zeros(0, np.uint64)
-            for s, t in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            out, last = [], None
+            own: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            for s, t in zip(left, right, strict=True):
+                t = t.as_py()
                 if t != last:  # rows come by centre
-                    last, own = t, shingles([t])[1]
-                other = shingles([s])[1]
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                out.append(both / max(1, len(own) + len(other) - both))
+                    last, own = t, _bags([t], weighted)[0]
+                both, whole = jaccard(own, _bags([s.as_py()], weighted)[0])
+                out.append(both / max(1, whole))
             yield pa.array(out, pa.float64())
+        trim()
+
+    return compare(a, b)
+
 
-    return jaccard(a, b)
+def _meet(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row per key, which is broadcast up to a counted bound of FEW rows, so that a key of many rows
+    stays spread over tasks; beyond it, adaptive execution splits such a key."""
+    table = written(table, "table")
+    return rows.join(F.broadcast(table) if table.count() <= FEW else table, key, how)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, weighted: bool) -> DataFrame:
     """The pairs (node, centre) whose texts are similar."""
     joined = pairs.join(texts.withColumnsRenamed({"content": "node", "text": "_a"}), "node").join(texts.withColumnsRenamed({"content": "centre", "text": "_b"}), "centre")
-    return joined.where(similarity("_a", "_b") >= least).select("node", "centre")
+    return joined.where(similarity("_a", "_b", weighted) >= least).select("node", "centre")
 
 
-def _unlinked(members: DataFrame, texts: DataFrame, least: float, bands: int, width: int) -> DataFrame:
-    """The similar pairs (node, centre) of different components among the members (band, content, root) of a bucket.
+def _unlinked(members: DataFrame, texts: DataFrame, least: float, bands: int, width: int, weighted: bool) -> DataFrame:
+    """Similar pairs (node, centre) that link the different components among the members (band, content, root) of a bucket.
 
-    Only buckets of several components are looked at. A bucket is dealt into blocks of at most BLOCK members and BLOCK_BYTES
-    of text, and each pair of blocks is compared in its own task: signatures first, then the whole texts of likely pairs, each
-    pair in the first band that it shares. Tasks return links only, never the pairs compared.
+    Only buckets of several components are looked at. Members outside a bucket's largest component are dealt into blocks, and all
+    its members too, of at most BLOCK members and BLOCK_BYTES of text; each pair of blocks is compared in its own task: signatures
+    first, then the whole texts of likely pairs, each pair in the first band that it shares. Tasks return links only, never the
+    pairs compared, and not for components that they have linked already.
     """
-    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int")
-    mixed = members.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band")
-    rows = written(members.join(mixed, "band", "left_semi").join(texts, "content"), "mixed")
-    rows = rows.join(rows.groupBy("band").agg(size.alias("n_blocks")), "band").withColumn("block", F.pmod(F.xxhash64("content"), F.col("n_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    rows = rows.select("band", "content", "root", "text", "block", other).select("band", "content", "root", "text", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sizes = members.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("band", "main")
+    rows = written(_meet(members, mixed, "band").join(texts, "content").withColumn("apart", F.col("root") != F.col("main")).drop("main"), "mixed")
+    blocks = lambda these: F.greatest(F.ceil(F.count_if(these) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(these, F.octet_length("text"))), F.lit(0)) / BLOCK_BYTES), F.lit(1)).cast("int")
+    rows = _meet(rows, rows.groupBy("band").agg(blocks(F.col("apart")).alias("n_left"), blocks(F.lit(True)).alias("n_right")), "band")
+    block = lambda n: F.pmod(F.xxhash64("content"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("apart").select("band", "content", "root", "text", F.lit(True).alias("apart"), F.lit(True).alias("left"), block("n_left").alias("i"), every("n_right").alias("j"))
+    right = rows.select("band", "content", "root", "text", "apart", F.lit(False).alias("left"), every("n_left").alias("i"), block("n_right").alias("j"))
 
     def compare(group: pa.Table) -> pa.Table:
-        names, roots, block = group.column("content").to_pylist(), np.unique(group.column("root").to_pylist(), return_inverse=True)[1], group.column("block").to_numpy()
-        whole = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        sets, sigs = [], []
+        side, apart = group.column("left").to_numpy(), group.column("apart").to_numpy()
+        names, roots = group.column("content").to_pylist(), np.unique(group.column("root").to_pylist(), return_inverse=True)[1]
+        bags, sigs = [], []
         for run in _runs(group.column("text").combine_chunks()):
-            doc, x, n = shingles(run)
-            ends = np.searchsorted(doc, np.arange(len(run) + 1))
-            sets += [x[ends[k] : ends[k + 1]] for k in range(len(run))]
-            sigs.append(signatures(doc, x, np.ones(len(n)), len(run), bands * width))
+            own = _bags(run, weighted)
+            bags += own
+            sizes = [len(x) for x, _ in own]
+            sigs.append(signatures(np.repeat(np.arange(len(run)), sizes), np.concatenate([x for x, _ in own]), np.concatenate([n for _, n in own]).astype(np.float64), len(run), bands * width))
         sig = np.concatenate(sigs)
         hashes = band_hashes(sig, bands, width)
-        here = int(np.flatnonzero((hashes == group.column("band")[0].as_py()).all(axis=0))[0]) if len(hashes) else 0
+        here = int(np.flatnonzero((hashes == group.column("band")[0].as_py()).all(axis=0))[0])
         near = max(0.0, least - SLACK * math.sqrt(least * (1 - least) / (bands * width))) * bands * width
+        others = np.flatnonzero(~side)
+        order = np.array(names, dtype=object)
         out: tuple[list[bytes], list[bytes]] = ([], [])
-        for k in range(len(names) - 1):
-            rest = np.arange(k + 1, len(names))
-            rest = rest[(roots[rest] != roots[k]) & ((block[rest] != block[k]) | whole)]
+        for k in np.flatnonzero(side).tolist():
+            rest = others[(roots[others] != roots[k]) & (~apart[others] | (order[others] > names[k]))]
             rest = rest[~(hashes[rest, :here] == hashes[k, :here]).any(axis=1)]
             rest = rest[(sig[rest] == sig[k]).sum(axis=1) >= near]
             for m in rest.tolist():
-                both = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
-                if both >= least * (len(sets[k]) + len(sets[m]) - both):
+                if roots[m] == roots[k]:
+                    continue
+                both, whole = jaccard(bags[k], bags[m])
+                if both >= least * whole:
                     out[0].append(names[k])
                     out[1].append(names[m])
+                    roots[roots == roots[m]] = roots[k]
+        trim()
         return pa.table({"node": pa.array(out[0], pa.binary()), "centre": pa.array(out[1], pa.binary())})
 
-    return rows.groupBy("band", "i", "j").applyInArrow(compare, "node binary, centre binary")
+    return left.unionByName(right).groupBy("band", "i", "j").applyInArrow(compare, "node binary, centre binary")
 
 
 def _beside(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
@@ -250,9 +284,10 @@ def _beside(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     return rows.join(table, column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new").select(rows.columns)
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, bands: int = BANDS, width: int = ROWS, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, bands: int = BANDS, width: int = ROWS, weighted: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): key and content of each row, and for each distinct content its first key, its copies, how many rows
     have that first key, and the content and key that stand for its class."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = written(docs.select(F.col(key).cast(kind).alias("key"), sketch(F.col(text), bands, width, weighted).alias("s")).select("key", "s.*"), "sketches")
     per_key = rows.where("content is not null").groupBy("content", "key").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
@@ -261,7 +296,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     exploded = nodes.select("content", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(exploded.join(shared, "band"), "members")
+    members = written(_meet(exploded, shared, "band"), "members")
     popular = members.groupBy("content").agg(F.sum("size").alias("popularity"))
     texts = written(
         docs.select(F.col(text).alias("text"), content(F.col(text)).alias("content")).where("content is not null").join(popular, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text")),
@@ -270,9 +305,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     ranked = members.select("band", "content").join(popular, "content")
     centres = ranked.groupBy("band").agg(F.max_by("content", F.struct("popularity", "content")).alias("centre"))
-    pairs = ranked.join(centres, "band").where("content != centre").select(F.col("content").alias("node"), "centre").distinct()
-    roots = written(components(_verified(pairs, texts, least), "node", "centre"), "roots")
-    found = _unlinked(_beside(members.select("band", "content", F.col("content").alias("root")), roots, "root"), texts, least, bands, width)
+    pairs = _meet(ranked, centres, "band").where("content != centre").select(F.col("content").alias("node"), "centre").distinct()
+    roots = written(components(_verified(pairs, texts, least, weighted), "node", "centre"), "roots")
+    found = _unlinked(_beside(members.select("band", "content", F.col("content").alias("root")), roots, "root"), texts, least, bands, width, weighted)
     merged = written(components(_beside(_beside(found, roots, "node"), roots, "centre"), "node", "centre"), "merged")
     if not merged.isEmpty():
         old = _beside(roots, merged, "root")
