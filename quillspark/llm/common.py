@@ -85,6 +85,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that texts go to Python in. It holds a batch, its copy in the JVM and what is made of it small.
+BATCH = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Has the session send texts to Python in batches of BATCH bytes, unless it has a bound of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have yet."""
     have = {c.lower() for c in df.columns}
@@ -93,6 +103,7 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 def with_results(df: DataFrame, struct: Column, names: list[str]) -> DataFrame:
     """df plus the fields of struct; an input column of the same name as a result gives way to the result."""
+    bounded_batches(df.sparkSession)
     tmp = fresh(df, "_result")
     out = df.withColumn(tmp, struct)
     taken = {n.lower() for n in names}

@@ -9,8 +9,8 @@ Words are counted over all documents, and each distinct word is scored once. The
 scan of the documents in a broadcast of that bound; the remaining occurrences meet their words in a shuffled join, where none is
 frequent, so no key is hot.
 
-Defined results: null text is the end alone; a null id is a training document; repeated rows each get their row and count
-as often; other columns are not looked at; an empty table gives an empty result.
+Defined results: null and empty texts are the end alone; very long texts and words are scored whole; a null id is a training
+document; repeated rows each get their row and count as often; other columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, crc_bucket, lean, resident, vocabulary_path, written
+from .common import bounded_batches, by_bytes, crc_bucket, lean, resident, vocabulary_path, written
 
 FREQUENT, ROUNDS = 300_000, 3
 #: Lengths above which a word's lattice is walked alone, and words of one length that are walked at a time.
@@ -220,6 +220,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_f
     import uuid
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(crc_bucket(F.col(key), modulus) == held, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     n_ends = rows.where("not held_out").select("key").count()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, vocabulary_path
+from .common import bounded_batches, lean, vocabulary_path
 from .encoding import token_ids
 
 #: Bins that may be open at once in a group, and documents to a group.
@@ -90,6 +90,7 @@ def best_fit(lengths: Iterable[int], size: int, most_open: int = OPEN) -> Iterat
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, size: int = 4096, end_id: int = 1, group: int = GROUP, most_open: int = OPEN) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset."""
+    bounded_batches(docs.sparkSession)
     path = tokenizer or vocabulary_path("word_bpe_49k.json")
     n_groups = max(1, math.ceil(docs.count() / group))
     found = (

@@ -7,8 +7,8 @@ linear terms, and what it keeps is compiled into one column expression, so scori
 Rows whose crc32(id as text) mod HELD is 0 are held out and never learned from; ids, labels, languages and sources are
 no inputs of a score.
 
-Defined results: null and empty texts have zero statistics and get that score; a null id is not held out; repeated rows
-each get their row; with fewer than LEAST_LABELS labels of a kind every score is the training rate (0.5 without labels); an
+Defined results: null and empty texts have zero statistics and get that score; very long texts are read whole; a null id is not
+held out; repeated rows each get their row, and of several texts of one labelled id one is learned from; with fewer than LEAST_LABELS labels of a kind every score is the training rate (0.5 without labels); an
 empty table gives an empty result.
 """
 
@@ -152,8 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """The model of at most sample labelled training rows of docs."""
     rows = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("double").alias("y")).where(crc_bucket(F.col("key"), held) != 0)
     chosen = rows.orderBy(F.xxhash64("key"), "key", "y").limit(sample)
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("y", *[s.alias(n) for s, n in zip(statistics(F.col("text")), STATISTICS, strict=True)])
-    table = found.orderBy("y", *STATISTICS).limit(4 * sample).toArrow()
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "y", *[s.alias(n) for s, n in zip(statistics(F.col("text")), STATISTICS, strict=True)])
+    table = found.groupBy("key").agg(F.min(F.struct("y", *STATISTICS)).alias("r")).select("r.*").orderBy("y", *STATISTICS).toArrow()  # a row per label
     x = np.column_stack([table.column(n).to_numpy() for n in STATISTICS]) if len(table) else np.zeros((0, len(STATISTICS)))
     return fit_rules(x, table.column("y").to_numpy() if len(table) else np.zeros(0))
 

@@ -9,6 +9,8 @@ import hashlib
 import lzma
 import math
 import re
+import time
+import tracemalloc
 import urllib.parse
 import zlib
 from collections import Counter
@@ -20,9 +22,10 @@ import pytest
 from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm import common, components, decontamination, encoding, lattice, minhash, packing, personal_data, quality_rules, secret_scan
+from quillspark.llm import common, components, decontamination, encoding, html_text, lattice, minhash, packing, personal_data, quality_model, quality_rules, secret_scan
 from quillspark.llm.common import vocabulary_path
 from quillspark.llm.html_text import render
 from quillspark.llm.queries import queries
@@ -160,6 +163,20 @@ def test_decontamination_in_one_block_and_in_many(spark, docs):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in many.collect()} == want
 
 
+@pytest.mark.parametrize("most", [60, 400, 5_000])
+def test_long_items_keep_their_windows_over_blocks(spark, docs, most):
+    bench = spark.createDataFrame([("long", " ".join(t for t in list(docs.values())[:3] if t)), ("short", "the of"), (None, "und die"), ("twelve", "a b c d e f g h i j k l"), ("none", "..")], "item_id string, text string")
+    frame = spark.createDataFrame([*docs.items(), (-1, "A b c, d e f g h i j k l m"), (-2, None)], "doc_id bigint, text string")
+    rows = decontamination.find_contamination(frame, bench, block_bytes=most).collect()
+    want = brute_contamination(docs | {-1: "A b c, d e f g h i j k l m", -2: None}, [(r.item_id, r.text) for r in bench.collect() if r.item_id is not None] + [("\x00", "und die")])
+    for r in rows:
+        n_words, n_hit, *_ = want[r.doc_id]
+        assert (r.n_words, r.n_hit) == (n_words, n_hit) and r.n_items == len(r.hit_items) and None not in r.hit_items
+        assert "twelve" in r.hit_items if r.doc_id == -1 else True
+    parts = list(decontamination._parts("x", "a b c d e f g h i j k l m n o p q r s t", 5, 12))
+    assert sum(n for *_, n in parts) == 16 and all(len(w.split()) == n + 4 for _, w, n in parts)
+
+
 def test_short_items_and_removed_spans(spark):
     d = spark.createDataFrame([(1, "a b c d. E f"), (2, "x")], "doc_id int, text string")
     b = spark.createDataFrame([(7, "B c"), (8, "e"), (9, "zz y")], "item_id int, text string")
@@ -379,6 +396,27 @@ def test_secrets_in_large_joined_and_unprintable_data(data):
     assert (5, "assign", 5 + len(hidden)) in secret_scan.spans(f"é xx {hidden} tail")[1] or data[:1] in b"\0x" and any(k == "assign" for _, k, _ in secret_scan.spans(f"é xx {hidden} tail")[1])
 
 
+def _b64(text):
+    return base64.b64encode(text.encode()).decode()
+
+
+@pytest.mark.parametrize(("text", "shown"), [
+    ("x password%3Dhunter22secret y", "password%3Dhunter22secret"), ("password%3D hunter22secret", None), ("pass%77ord: hunter22secret", None), ("api_key&equals;abc123def456", None), ("&quot;token&quot;&colon; abc123def456", "token&quot;&colon; abc123def456"),
+    ("/cfg/" + _b64("password: hunter22"), _b64("password: hunter22")), ("id_" + _b64("token=abc123def"), _b64("token=abc123def")), ("key-" + _b64("secret = zzz999xxx"), _b64("secret = zzz999xxx")),
+    (_b64("password") + ": hunter22secret", None), (_b64("api_key") + "=abcdef99", None), ("%252525252570assword: hunter2xyz", None), ("&amp;amp;amp;#112;assword=hunter2xyz", None), ("/x/y-" + base64.b64encode(gzip.compress(b"a password = hunter22secret")).decode(), base64.b64encode(gzip.compress(b"a password = hunter22secret")).decode()),
+])
+def test_secrets_that_are_partly_encoded(text, shown):
+    found = [text[a:b] for a, kind, b in secret_scan.spans(text)[1] if kind == "assign"]
+    assert (shown or text) in found
+
+
+@pytest.mark.parametrize("text", ["%" + "25" * 4000 + "70assword=hunter2", "&" + "amp;" * 4000 + "#112;assword=hunter2", "&#37;" + "26#37;" * 1000 + "70assword=hunter2", _b64("A" * 300_000), "a" * 300_000, "QUtJ/" * 60_000, "\\" + "u005c" * 3000 + "u0041KIA"])
+def test_secret_scans_of_deep_nesting_end_soon(text):
+    start = time.process_time()
+    secret_scan.spans(text)
+    assert time.process_time() - start < 5
+
+
 def test_secret_base_and_cycles(docs):
     rx = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     for t in docs.values():
@@ -393,13 +431,87 @@ def test_html_layout():
     assert render("<div>" * 20_000 + "deep") == "deep" and render("<td>x") == "x" and render(None) == ""
 
 
+def dense_table(rows):
+    """The lines of a table from a whole grid."""
+    grid, down = [], {}
+    for r, row in enumerate(rows):
+        out, new = [], {}
+        for cell, across, tall in row:
+            while down.get(len(out), 0) > r:
+                out.append("")
+            for k in range(across):
+                until = len(rows) if tall == 0 else r + tall
+                if until > r + 1:
+                    new[len(out)] = until
+                out.append(cell if k == 0 else "")
+        grid.append(out)
+        down = {c: u for c, u in (down | new).items() if u > r + 1}
+    size = max(map(len, grid), default=0)
+    cells = [[c.split("\n") for c in row + [""] * (size - len(row))] for row in grid]
+    widths = [max((len(x) for row in cells for x in row[i]), default=0) for i in range(size)]
+    lines = ["  ".join((row[i][k] if k < len(row[i]) else "").ljust(widths[i]) for i in range(size) if widths[i]).rstrip() for row in cells for k in range(max((len(c) for c in row), default=0))]
+    return [x for x in lines if x]
+
+
+class PlainBuilder(html_text.Builder):
+    """The tree, with all open elements looked through for each tag."""
+
+    def _close(self, tags, stop):
+        cut = 0
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in stop:
+                break
+            cut = i if self.open[i].tag in tags else cut
+        if cut:
+            self._cut(cut)
+
+    def _last(self, tags):
+        return max((i for i, e in enumerate(self.open) if e.tag in tags), default=0)
+
+
+_CELL = st.tuples(st.sampled_from(["", "a", "bb c", "x\ny"]), st.integers(1, 3), st.integers(0, 3))
+_TAG = st.sampled_from("div p ul ol li table tr td th thead tbody b h1 h2 span br caption dl dt dd pre blockquote select option".split())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(_CELL, max_size=4), max_size=6), st.lists(st.one_of(_TAG.map("<{}>".format), _TAG.map("</{}>".format), st.sampled_from(["x", "y z"])), max_size=40))
+def test_html_tables_and_trees_equal_brute_force(rows, tags):
+    assert html_text._table(rows) == dense_table(rows)
+    trees = []
+    for kind in (html_text.Builder, PlainBuilder):
+        tree = kind()
+        tree.feed("".join(tags))
+        tree.close()
+        shape = lambda e: e if isinstance(e, str) else (e.tag, [shape(c) for c in e.children])
+        trees.append(shape(tree.root))
+    assert trees[0] == trees[1]
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 20_000, "<table><tr>" + "<td colspan=1000>x" * 200 + "<tr><td>y" * 1000, "<table>" + ("<tr>" + "<td colspan=1000>x" * 50) * 40, "<table>" + "<tr><td rowspan=60000>x" * 3000,
+    "<blockquote>x" * 10_000, "<!--" * 50_000, "<a " * 50_000, "<a href='" * 20_000, "<style>" + "".join(f".c{i}{{display:none}}" for i in range(5000)) + "</style>" + "".join(f"<p class=c{i}>x" for i in range(5000)),
+])
+def test_html_time_and_memory_grow_with_the_page(page):
+    start = time.process_time()
+    tracemalloc.start()
+    render(page)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.process_time() - start < 10 and most < 300 << 20
+
+
+def test_html_style_rules_cascade():
+    assert render("<style>p{display:none} p.a{visibility:visible} #i{display:none}</style><p>no<p class=a>yes<p class=a id=i>no") == "yes"
+    assert render("<table><tr><td rowspan=0>a<td>b<tr><td>c</table>") == "a  b\n   c"
+
+
 def jaccard_classes(docs):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     sets = {}
     for i, t in docs.items():
         w = word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
         k = min(5, len(w))
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+        sets[i] = Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else Counter()
     parent = {i: i for i in docs}
 
     def root(x):
@@ -410,7 +522,7 @@ def jaccard_classes(docs):
     keys = sorted(docs)
     for a in keys:
         for b in keys:
-            if b < a and (both := len(sets[a] & sets[b])) and both >= 0.8 * len(sets[a] | sets[b]):
+            if b < a and (both := (sets[a] & sets[b]).total()) and both >= 0.8 * (sets[a] | sets[b]).total():
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {i: root(i) for i in docs}
@@ -425,6 +537,8 @@ def test_near_duplicates_equal_brute_force(spark, docs):
         for j in rng.integers(0, 120, k % 7):
             w[j] = f"x{k}{j}"
         copies[10_000 + k] = " ".join(w)
+    for k in range(6):  # the same shingles, but not as often
+        copies[20_000 + k] = "one two three four five six seven eight. " * (3 + 2 * k)
     both = docs | copies
     frame = spark.createDataFrame(list(both.items()), "doc_id bigint, text string").repartition(3)
     want = jaccard_classes(both)
@@ -435,14 +549,26 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert sorted(r.doc_id for r in again.collect()) == sorted(set(want.values()))
 
 
-def test_blocks_find_links_between_them(spark, monkeypatch):
-    texts = {f"n{k}".encode(): " ".join(f"w{j if j != k else 900 + k}" for j in range(60)) for k in range(12)}
-    members = spark.createDataFrame([(b, n, n) for n in texts for b in minhash.band_hashes(minhash.signatures(*minhash.shingles([texts[n]])[:2], np.ones(minhash.shingles([texts[n]])[0].size), 1, 120), 24, 5)[0].tolist()], "band bigint, content binary, root binary")
+@pytest.mark.parametrize("weighted", [True, False])
+def test_blocks_find_links_between_them(spark, monkeypatch, weighted):
+    """Whatever the blocks, the links join what all pairs join, though most members share one root."""
+    texts = {f"n{k:02}".encode(): " ".join(f"w{j if j != k else 900 + k}" for j in range(60)) for k in range(12)} | {f"m{k}".encode(): f"w0 w1 w2 w3 w4 w5 w6 {k}" for k in range(3)}
+    sign = lambda t: minhash.signatures(np.zeros(len(minhash.shingles([t])[1]), np.int64), minhash.shingles([t])[1], minhash.shingles([t])[2].astype(float), 1, 120)
+    bands = {n: minhash.band_hashes(sign(t), 24, 5)[0].tolist() for n, t in texts.items()}
+    members = spark.createDataFrame([(b, n, b"n00" if n in (b"n00", b"n01", b"n02", b"n03") else n) for n in texts for b in bands[n]], "band bigint, content binary, root binary")
     frame = spark.createDataFrame(list(texts.items()), "content binary, text string")
-    monkeypatch.setattr(minhash, "BLOCK", 3)
-    got = {tuple(sorted(map(bytes, r))) for r in minhash._unlinked(members, frame, 0.8, 24, 5).collect()}
-    monkeypatch.setattr(minhash, "BLOCK", 1024)
-    assert got == {tuple(sorted(map(bytes, r))) for r in minhash._unlinked(members, frame, 0.8, 24, 5).collect()} and got
+    found = []
+    for size in (3, 1024):
+        monkeypatch.setattr(minhash, "BLOCK", size)
+        links = [tuple(map(bytes, r)) for r in minhash._unlinked(members, frame, 0.8, 24, 5, weighted).collect()]
+        assert all(np.divide(*minhash.jaccard(*minhash._bags([texts[a], texts[b]], weighted))) >= 0.8 for a, b in links)
+        group = {n: {n} for n in texts}
+        for a, b in [*links, (b"n00", b"n01"), (b"n00", b"n02"), (b"n00", b"n03")]:
+            both = group[a] | group[b]
+            for n in both:
+                group[n] = both
+        found.append(group)
+    assert found[0] == found[1] and len(found[0][b"n11"]) == 12 and len(found[0][b"m0"]) == 1
 
 
 def test_signatures_estimate_weighted_similarity():
@@ -499,6 +625,28 @@ def test_numbers_beside_other_digits_are_found_whole(spark):
     assert found == texts
 
 
+def test_compiled_rules_equal_numpy(spark, docs):
+    """Every rule and linear term of a fitted model, as a column and as arrays."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, len(quality_model.STATISTICS)))
+    model = quality_model.fit_rules(x, (x[:, 0] + (x[:, 1] > 0.3) + rng.normal(scale=0.3, size=400) > 0.5).astype(float))
+    assert model.rules and model.linear
+    odds = np.full(400, model.bias)
+    for terms, weight in model.rules:
+        odds += weight * np.all([x[:, f] > cut if above else x[:, f] <= cut for f, above, cut in terms], axis=0)
+    for f, low, high, weight in model.linear:
+        odds += weight * np.clip(x[:, f], low, high)
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, s array<double>")
+    got = [r[0] for r in frame.orderBy("i").select(model.column(F.col("s"))).collect()]
+    assert got == pytest.approx((1 / (1 + np.exp(-odds))).tolist())
+    texts = spark.createDataFrame([(i, t) for i, t in docs.items()], "i bigint, text string")
+    for r in texts.select("text", F.array(*quality_model.statistics(F.col("text"))).alias("s")).collect():
+        words, lines = re.split("[ \t\n\x0b\f\r]+", r.text), [x for x in r.text.split("\n") if x]
+        words = [w for w in words if w]
+        assert r.s[:4] == pytest.approx([math.log1p(len(r.text)), math.log1p(len(words)), len(r.text) / len(words) if words else 0, len(set(words)) / len(words) if words else 0])
+        assert r.s[10] == pytest.approx((len(lines) - len(set(lines))) / len(lines) if lines else 0)
+
+
 def test_quality_model_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     rows = queries()["op2_rule_ensemble"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").select("score", "predicted", "quality").collect()
