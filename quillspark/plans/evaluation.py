@@ -343,3 +343,67 @@ def _percents(value: Column) -> list[Column]:
 def shown_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Percentages and thousands as reports print them."""
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *_percents(F.col("l_discount")))
+
+
+@_query(f"""select row_number() over (order by size, list_position(['Base recipe', 'Adapter rank', 'Learning rate', 'Training filings'], varied), number)::int place, run, varied from (
+  select run, regexp_extract(run, '{_RX}', 1) size, case when (rank <> '16')::int + (rate <> '1e-4')::int + (volume <> 'all')::int = 0 then 'Base recipe' when rank <> '16' then 'Adapter rank' when rate <> '1e-4' then 'Learning rate' else 'Training filings' end varied,
+  case when rank <> '16' then rank::double when rate <> '1e-4' then rate::double when volume <> 'all' then volume::double else 0 end number from (
+  select run, regexp_extract(run, '{_RX}', 2) rank, regexp_extract(run, '{_RX}', 3) rate, regexp_extract(run, '{_RX}', 4) volume from (select distinct unnest([{", ".join(f"'{n}'" for n in _NAMES)}]) run)
+  where regexp_matches(run, '{_RX}') and regexp_extract(run, '{_RX}', 7) = '' and regexp_extract(run, '{_RX}', 5) = '0' and regexp_extract(run, '{_RX}', 6) = '1') where (rank <> '16')::int + (rate <> '1e-4')::int + (volume <> 'all')::int <= 1)""")
+def sweep_points(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of a sweep by size, factor and value."""
+    from pyspark.sql.window import Window
+
+    run = F.col("run")
+    rows = spark.createDataFrame([(n,) for n in dict.fromkeys(_NAMES)], "run string").select("run", ev.run_parts(run)["size"].alias("size"), ev.sweep_variant(run).alias("v")).where("v.varied is not null")
+    order = F.array_position(F.array(*[F.lit(x) for x in ("Base recipe", "Adapter rank", "Learning rate", "Training filings")]), F.col("v.varied"))
+    number = F.when(F.col("v.varied") != "Base recipe", F.replace(F.col("v.value"), F.lit(","), F.lit("")).cast("double")).otherwise(0.0)
+    return rows.select(F.row_number().over(Window.orderBy("size", order, number)).alias("place"), "run", F.col("v.varied").alias("varied"))
+
+
+@_query("select 'base' factor, '7b-16-1e-4-all' run union all select 'rank', '7b-8-1e-4-all' union all select 'rank', '7b-64-1e-4-all' union all select 'rate', '7b-16-5e-5-all' union all select 'rate', '7b-16-2e-4-all' union all select 'volume', '7b-16-1e-4-1000' union all select 'volume', '7b-16-1e-4-2500'")
+def one_factor_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """One factor at a time from a base recipe, which is there once."""
+    from ..operators.reports import one_factor_sweep as sweep
+
+    out = sweep({"size": "7b", "rank": "16", "rate": "1e-4", "volume": "all"}, {"rank": ["8", "16", "64"], "rate": ["5e-5", "1e-4", "2e-4"], "volume": ["1000", "2500", "all"]}, spark)
+    return out.select("factor", F.concat_ws("-", "size", "rank", "rate", "volume").alias("run"))
+
+
+@_query(f"select run, accuracy, usd_per_1000 from ({_SUM_SQL})")
+def results_json(spark: SparkSession, d: str) -> DataFrame:
+    """The results as JSON lines, as a page reads them."""
+    out = _rounded(ev.run_summaries(_calls(spark, d), ["run"]), "accuracy", "usd_per_1000")
+    lines = out.select(F.to_json(F.struct("run", F.struct("accuracy", "usd_per_1000").alias("shares"))).alias("line"))
+    return lines.select(F.from_json("line", "run bigint, shares struct<accuracy:double,usd_per_1000:double>").alias("r")).select("r.run", "r.shares.*")
+
+
+@_query("select user_id % 4 concurrency, count(*) n from events group by 1")
+def load_levels(spark: SparkSession, d: str) -> DataFrame:
+    """A load record that is written anew after each level."""
+    import uuid
+
+    from ..sources.sinks import shared_dir, write_levels
+
+    place = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
+    rows = table(spark, d, "events").select((F.col("user_id") % 4).alias("concurrency"), "event_id")
+    for most in (1, 3):
+        write_levels(rows.where(F.col("concurrency") <= most), place)
+    return spark.read.schema("event_id bigint, concurrency bigint").json(place).groupBy("concurrency").agg(F.count("*").alias("n"))
+
+
+@_query("select count(*) answered, count(distinct c_custkey) items from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0")
+def resumed_run(spark: SparkSession, d: str) -> DataFrame:
+    """A run that stopped half way goes on with the items that its log lacks."""
+    import uuid
+
+    from ..operators.sampling import unanswered
+    from ..sources.sinks import append_log, shared_dir
+
+    place, schema = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}", "c_custkey bigint, ok boolean, text string"
+    items = table(spark, d, "customer").where("c_custkey % 2 = 0 or c_custkey % 3 = 0").select(F.col("c_custkey").cast("bigint").alias("c_custkey"))
+    answer = lambda rows: rows.select("c_custkey", F.lit(True).alias("ok"), F.lit("x").alias("text"))
+    append_log(answer(items.where("c_custkey % 2 = 0")), place)
+    append_log(answer(unanswered(items, spark.read.schema(schema).json(place), "c_custkey")), place)
+    log = spark.read.schema(schema).json(place)
+    return log.agg(F.count("*").alias("answered"), F.countDistinct("c_custkey").alias("items"))
