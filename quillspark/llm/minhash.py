@@ -34,6 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Members and bytes of text to a block of a bucket whose components are compared with each other.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Rows of all among which a content of more than one is met by broadcast where the others are shuffled.
+HOT = 1000
 #: Standard deviations that a signature's agreement may fall below the similarity before a pair isn't looked at.
 SLACK = 4.0
 #: Documents (at most 512: a shingle keeps 55 bits beside its document's number) and bytes worked on at a time.
@@ -218,6 +220,24 @@ def _meet(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> Da
     return rows.join(F.broadcast(table) if table.count() <= FEW else table, key, how)
 
 
+def _by_content(rows: DataFrame, nodes: DataFrame, n_rows: int) -> DataFrame:
+    """rows (with content) plus node, the row of nodes of the same content as a struct, null without one. nodes has one row per content
+    and its copies.
+
+    Up to a counted bound of FEW rows nodes are broadcast. Beyond it the contents that more than one row in HOT has, of which
+    there are fewer than HOT, are broadcast; the other rows meet their node in a shuffle, in which those rows, and rows without
+    content, are dealt by their place, so no content is a hot key.
+    """
+    table = written(nodes.select("content", "copies", F.struct(*[c for c in nodes.columns if c not in ("content", "copies")]).alias("node")), "contents")
+    if table.count() <= FEW:
+        return rows.join(F.broadcast(table.drop("copies")), "content", "left")
+    hot = table.where(F.col("copies") * HOT > n_rows).select("content", F.col("node").alias("_hot"))
+    place = F.monotonically_increasing_id().cast("string").cast("binary")
+    dealt = rows.join(F.broadcast(hot), "content", "left").withColumn("_at", F.when(F.col("_hot").isNull() & F.col("content").isNotNull(), F.col("content")).otherwise(F.concat(F.lit("row ").cast("binary"), place)))
+    joined = dealt.join(table.select(F.col("content").alias("_at"), "node").hint("merge"), "_at", "left")
+    return joined.withColumn("node", F.coalesce("_hot", "node")).select(*rows.columns, "node")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, weighted: bool) -> DataFrame:
     """The pairs (node, centre) whose texts are similar."""
     joined = pairs.join(texts.withColumnsRenamed({"content": "node", "text": "_a"}), "node").join(texts.withColumnsRenamed({"content": "centre", "text": "_b"}), "centre")
@@ -294,16 +314,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     rank = F.struct(F.col("key").isNull().alias("none"), "key")
     nodes = written(per_key.groupBy("content").agg(F.min(F.struct(rank.alias("rank"), "n")).alias("least"), F.sum("n").alias("copies"), F.first("bands").alias("bands")), "nodes")
 
-    exploded = nodes.select("content", F.explode("bands").alias("band"))
+    n_rows = rows.count()
+    exploded = nodes.select("content", "copies", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = written(_meet(exploded, shared, "band"), "members")
-    popular = members.groupBy("content").agg(F.sum("size").alias("popularity"))
-    texts = written(
-        docs.select(F.col(text).alias("text"), content(F.col(text)).alias("content")).where("content is not null").join(popular, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text")),
-        "candidates",
-    )
+    popular = written(members.groupBy("content").agg(F.sum("size").alias("popularity"), F.first("copies").alias("copies")), "popular")
+    given = docs.select(F.col(text).alias("text"), content(F.col(text)).alias("content")).where("content is not null")
+    texts = written(_by_content(given, popular, n_rows).where("node is not null").groupBy("content").agg(F.first("text").alias("text")), "candidates")
 
-    ranked = members.select("band", "content").join(popular, "content")
+    ranked = members.select("band", "content").join(popular.drop("copies"), "content")
     centres = ranked.groupBy("band").agg(F.max_by("content", F.struct("popularity", "content")).alias("centre"))
     pairs = _meet(ranked, centres, "band").where("content != centre").select(F.col("content").alias("node"), "centre").distinct()
     roots = written(components(_verified(pairs, texts, least, weighted), "node", "centre"), "roots")
@@ -321,17 +340,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: object) -> DataFrame:
     """key and class_id of each row; class_id is the least key of the near-duplicates that the row belongs to."""
     rows, nodes = classes(docs, key, text, **how)  # type: ignore[arg-type]
-    return rows.join(nodes.select("content", "class_id", F.lit(True).alias("known")), "content", "left").select(F.col("key").alias(key), F.when(F.col("known"), F.col("class_id")).otherwise(F.col("key")).alias("class_id"))
+    found = _by_content(rows, nodes.where("copies > 1 or head != content").select("content", "copies", "class_id"), rows.count())
+    return found.select(F.col("key").alias(key), F.when(F.col("node").isNotNull(), F.col("node.class_id")).otherwise(F.col("key")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: object) -> DataFrame:
     """docs with one row of each class, columns as they were: the row of least key, which is whole even where rows repeat."""
-    _, nodes = classes(docs, key, text, **how)  # type: ignore[arg-type]
+    rows, nodes = classes(docs, key, text, **how)  # type: ignore[arg-type]
     nodes = written(nodes.where("copies > 1 or head != content"), "classes")
     keyed = held(docs, key=F.col(key), content=content(F.col(text)))
-    out = keyed.join(nodes, "content", "left").where(F.col("head").isNull() | ((F.col("head") == F.col("content")) & F.col("key").eqNullSafe(F.col("first_key"))))
+    out = _by_content(keyed, nodes, rows.count()).where(F.col("node").isNull() | ((F.col("node.head") == F.col("content")) & F.col("key").eqNullSafe(F.col("node.first_key"))))
     if not nodes.where("head = content and first_rows > 1").isEmpty():
-        again = F.col("head").isNotNull() & (F.col("first_rows") > 1)
+        again = F.col("node").isNotNull() & (F.col("node.first_rows") > 1)
         once = out.where(again).groupBy("content").agg(F.first("_row").alias("_row"))
         out = out.where(~F.coalesce(again, F.lit(False))).select("content", "_row").union(once)
     return restored(out, docs.columns)

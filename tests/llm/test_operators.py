@@ -528,7 +528,10 @@ def jaccard_classes(docs):
     return {i: root(i) for i in docs}
 
 
-def test_near_duplicates_equal_brute_force(spark, docs):
+@pytest.mark.parametrize("few", [0, minhash.FEW])
+def test_near_duplicates_equal_brute_force(spark, docs, monkeypatch, few):
+    """By broadcasts and, with few = 0, by shuffles; the copies of one text are a hot content."""
+    monkeypatch.setattr(minhash, "FEW", few)
     rng = np.random.default_rng(0)
     base = [f"w{k}" for k in rng.integers(0, 10_000, 120)]
     copies = {}
