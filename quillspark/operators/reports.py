@@ -70,3 +70,11 @@ def one_factor_sweep(base: dict, options: dict[str, list], spark: object) -> Dat
 def above_limit(rows: DataFrame, length: str, limit: int) -> DataFrame:
     """(n, above, share): how many lengths would be cut at limit."""
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col(length) > limit).alias("above"), F.avg((F.col(length) > limit).cast("double")).alias("share"))
+
+
+def markdown_lines(rows: DataFrame, place: str, columns: list[str]) -> DataFrame:
+    """(place, line): a markdown table of text columns in the order of place, which counts from 1; the head is in places 0 and 1."""
+    spark = rows.sparkSession
+    head = spark.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|---" * len(columns) + "|")], f"{place} int, line string")
+    body = rows.select((F.col(place) + 1).cast("int").alias(place), F.concat(F.lit("| "), F.concat_ws(" | ", *columns), F.lit(" |")).alias("line"))
+    return head.unionByName(body)

@@ -407,3 +407,20 @@ def resumed_run(spark: SparkSession, d: str) -> DataFrame:
     append_log(answer(unanswered(items, spark.read.schema(schema).json(place), "c_custkey")), place)
     log = spark.read.schema(schema).json(place)
     return log.agg(F.count("*").alias("answered"), F.countDistinct("c_custkey").alias("items"))
+
+
+@_query(_boot(f"select 'n1000' volume, item_id o, avg(correct::int) v from ({_OUT_SQL}) where k in (3, 4) group by 2", "volume", 10_000, "scaling", "avg(v)"))
+def scaling_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Each filing scored as the mean of the seeds on it, resampled by filing."""
+    rows = ev.accuracy_by_item(_outcomes(spark, d).where("k in (3, 4)"), [], "item_id").withColumn("volume", F.lit("n1000"))
+    return _rounded(statistics.portable_bootstrap(rows, ["volume"], "item_id", "v", 10_000, "scaling"), "point", "low", "high")
+
+
+@_query(f"select place, line from (select 0 place, '| run | accuracy | usd |' line union all select 1, '|---|---|---|' union all select 1 + row_number() over (order by usd_per_1000 nulls last, run)::int, '| ' || run || ' | ' || format('{{:.1f}}%', accuracy * 100) || ' | ' || coalesce(format('{{:,.2f}}', usd_per_1000), 'not costed') || ' |' from ({_SUM_SQL}))")
+def report_table(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a markdown table of runs, cheapest first."""
+    from ..operators.reports import markdown_lines
+
+    out = ev.cheapest_first(_rounded(ev.run_summaries(_calls(spark, d), ["run"]), "usd_per_1000", "accuracy"), "run", "usd_per_1000")
+    shown = out.select("place", F.col("run").cast("string").alias("run"), text.percent(F.col("accuracy")).alias("accuracy"), F.coalesce(F.format_string("%,.2f", "usd_per_1000"), F.lit("not costed")).alias("usd"))
+    return markdown_lines(shown, "place", ["run", "accuracy", "usd"])

@@ -84,13 +84,13 @@ def split_leak_check(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""select o_orderkey, o_custkey from orders where o_custkey in (select o_custkey from (select distinct o_custkey from orders) order by md5('select:' || o_custkey), o_custkey limit 50)""")
 def select_companies_topn(spark: SparkSession, d: str) -> DataFrame:
-    """W2, C19, O1."""
+    """W2, C19."""
     return splits.first_companies(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 50, "select")
 
 
 @_query("""select v.volume, doc_id from (select doc_id, row_number() over (order by md5('train:' || doc_id), doc_id) i from documents) r join (select unnest([25, 50, 100]) volume) v on i <= v.volume""")
 def nested_volume(spark: SparkSession, d: str) -> DataFrame:
-    """W15, W16."""
+    """W15."""
     return splits.nested_volumes(table(spark, d, "documents"), "doc_id", [25, 50, 100], "train")
 
 
@@ -220,7 +220,7 @@ def grade_numeric(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"select 'f' || l_linenumber field, reason, count(*) n from ({_GRADE_SQL}) where reason <> 'correct' group by 1, 2")
 def grade_miss_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """A12, O4."""
+    """A12."""
     return runs.field_report(_outcomes(spark, d)).select("field", F.explode("misses").alias("reason", "n"))
 
 
@@ -279,7 +279,7 @@ def mean_interval_numpy(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""select count(*) teacher_errors, count(*) filter (toxic = 1 and quality = 0) repeated, round(count(*) filter (toxic = 1 and quality = 0) / greatest(count(*), 1), 6) share from labels where quality = 0""")
 def inherited_share(spark: SparkSession, d: str) -> DataFrame:
-    """J8; the share without A11's interval."""
+    """The share of inherited errors."""
     labels = table(spark, d, "labels")
     teacher = labels.select("doc_id", (F.col("quality") == 1).alias("correct"), F.lit("x").alias("predicted"))
     student = labels.select("doc_id", (F.col("toxic") == 0).alias("correct"), F.when(F.col("toxic") == 1, "x").alias("predicted"))
@@ -290,7 +290,7 @@ def inherited_share(spark: SparkSession, d: str) -> DataFrame:
   round(least(1, (p + z2 / (2 * n)) / (1 + z2 / n) + 1.959964 * sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)), 6) high
   from (select quality, count(*) n, avg(toxic) p, 1.959964::double * 1.959964 z2 from labels group by 1)""")
 def wilson_rate(spark: SparkSession, d: str) -> DataFrame:
-    """A19, A20, A30."""
+    """A19."""
     out = table(spark, d, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
     w = statistics.wilson(F.col("k"), F.col("n"))
     return out.withColumn("w", w).select("quality", "n", *[F.round(f"w.{c}", 6).alias(c) for c in ("point", "low", "high")])
@@ -310,7 +310,7 @@ _TIMING_SQL = "select user_id % 4 concurrency, epoch(ts) sent, epoch(ts) + value
   round(sum(case when ok then tok end) / (max(done) - min(sent)), 6) tokens_per_second, round(quantile_disc(case when ok then (first_at - sent) * 1000 end, 0.5), 1) ttft_p50_ms, round(quantile_disc(case when ok then (first_at - sent) * 1000 end, 0.99), 1) ttft_p99_ms,
   round(quantile_disc(case when ok then (done - sent) * 1000 end, 0.5), 1) e2e_p50_ms, round(quantile_disc(case when ok then (done - sent) * 1000 end, 0.99), 1) e2e_p99_ms from k group by 1""")
 def load_summary(spark: SparkSession, d: str) -> DataFrame:
-    """A17, F16, A18."""
+    """A17, F16."""
     sent = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     timing = table(spark, d, "events").select(
         (F.col("user_id") % 4).alias("concurrency"), sent.alias("sent_at"), (sent + F.col("value") / 1000).alias("first_token_at"), (sent + F.col("value") / 100).alias("done_at"),
@@ -358,14 +358,16 @@ def pareto_front(spark: SparkSession, d: str) -> DataFrame:
     return reports.pareto_front(table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice", "p_size"), ["p_brand"], "p_retailprice", "p_size")
 
 
-@_query("""select w.l_returnflag, round(s1, 6) s1, round(s2, 6) s2, round(s3, 6) s3, round(mean, 6) mean from
-  (select l_returnflag, avg(l_discount) filter (l_linenumber = 1) s1, avg(l_discount) filter (l_linenumber = 2) s2, avg(l_discount) filter (l_linenumber = 3) s3 from lineitem where l_linenumber <= 3 group by 1) w
-  join (select l_returnflag, avg(m) mean from (select l_returnflag, l_orderkey, avg(l_discount) m from lineitem where l_linenumber <= 3 group by 1, 2) group by 1) using (l_returnflag)""")
+_SEEDS = [f"s{i}" for i in range(1, 8)]
+
+
+@_query(f"""select w.*, round(mean, 6) mean from (select l_returnflag, {", ".join(f"round(avg(l_discount) filter (l_linenumber = {i}), 6) s{i}" for i in range(1, 8))} from lineitem group by 1) w
+  join (select l_returnflag, avg(m) mean from (select l_returnflag, l_orderkey, avg(l_discount) m from lineitem group by 1, 2) group by 1) using (l_returnflag)""")
 def scaling_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """A21, J23."""
-    rows = table(spark, d, "lineitem").where("l_linenumber <= 3").withColumn("seed", F.concat(F.lit("s"), F.col("l_linenumber").cast("string")))
-    out = reports.seed_means(rows, ["l_returnflag"], "l_orderkey", "seed", "l_discount", ["s1", "s2", "s3"])
-    return out.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("s1", "s2", "s3", "mean")])
+    """Every seed's mean, and the mean over items of each item's mean over seeds."""
+    rows = table(spark, d, "lineitem").withColumn("seed", F.concat(F.lit("s"), F.col("l_linenumber").cast("string")))
+    out = reports.seed_means(rows, ["l_returnflag"], "l_orderkey", "seed", "l_discount", _SEEDS)
+    return out.select("l_returnflag", *[F.round(c, 6).alias(c) for c in (*_SEEDS, "mean")])
 
 
 @_query("""select unnest(['value', 'props', 'late']) field, unnest([count(value), count(props), count(case when value > 20 then 1 end)]) filled, count(*) n from events""")
@@ -401,7 +403,7 @@ def quantile_definitions(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""select conv_id, count(*) turns, max(case when role = 'system' then text end) system, arg_min(text, turn) filter (role = 'user') user_text, arg_max(text, turn) filter (role = 'assistant') assistant from conversations group by 1""")
 def chat_examples(spark: SparkSession, d: str) -> DataFrame:
-    """F19, JS5, K9."""
+    """F19."""
     said = lambda role: F.when(F.col("role") == role, F.col("turn"))
     return table(spark, d, "conversations").groupBy("conv_id").agg(
         F.count("*").alias("turns"), F.max(F.when(F.col("role") == "system", F.col("text"))).alias("system"), F.min_by("text", said("user")).alias("user_text"), F.max_by("text", said("assistant")).alias("assistant")
@@ -419,7 +421,7 @@ def recost(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""select doc_id, len(v) n_numbers, coalesce(list_max(list_transform(v, lambda s: replace(s, ',', '')::double)), 0) largest from (select doc_id, regexp_extract_all(text, '\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?') v from documents)""")
 def printed_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """C2, without the dash rule, which needs a lookahead."""
+    """C2 over whole texts; the dash rule, which needs a lookahead, has its written examples."""
     found = F.regexp_extract_all("text", F.lit(text.NUMBER), F.lit(0))
     values = F.transform(found, lambda s: F.replace(s, F.lit(","), F.lit("")).cast("double"))
     return table(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("n_numbers"), F.coalesce(F.array_max(values), F.lit(0.0)).alias("largest"))
@@ -427,14 +429,14 @@ def printed_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""select p_brand, arg_min(p_name, (p_retailprice, p_partkey)) cheapest, arg_min(p_name, (-p_size, p_partkey)) best from part group by 1""")
 def anchors(spark: SparkSession, d: str) -> DataFrame:
-    """A23, O3."""
+    """A23 by group."""
     return reports.extremes(table(spark, d, "part"), ["p_brand"], "p_name", "p_retailprice", "p_size", "p_partkey")
 
 
 @_query("""select v.l_returnflag, v.l_linestatus, round(v.m, 6) m, round(c.m, 6) control_value, round(v.m - c.m, 6) delta from (select l_returnflag, l_linestatus, avg(l_quantity) m from lineitem group by 1, 2) v
   left join (select l_returnflag, avg(l_quantity) m from lineitem where l_linestatus = 'F' group by 1) c using (l_returnflag) where v.l_linestatus <> 'F'""")
 def variants_beside_control(spark: SparkSession, d: str) -> DataFrame:
-    """J10 to J13."""
+    """A variant beside the control of the same key."""
     rows = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.avg("l_quantity").alias("m"))
     out = reports.beside(rows, "l_linestatus", "F", ["l_returnflag"], "m")
     return out.select("l_returnflag", "l_linestatus", *[F.round(c, 6).alias(c) for c in ("m", "control_value", "delta")])
@@ -448,14 +450,14 @@ def truncation_share(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("select o_custkey from (select o_custkey, count(distinct o_orderpriority) k from orders group by 1) where k = (select count(distinct o_orderpriority) from orders)")
 def complete_runs(spark: SparkSession, d: str) -> DataFrame:
-    """F13, J24."""
+    """F13."""
     orders = table(spark, d, "orders")
     return runs.complete_runs(orders, orders.select("o_orderpriority").distinct(), "o_custkey", "o_orderpriority")
 
 
 @_query("select o_orderkey, lower(sha256(o_comment)) digest, substr(lower(sha256(o_comment)), 1, 32) key from (select o_orderkey, o_orderpriority || ':' || o_orderkey o_comment from orders)")
 def content_digests(spark: SparkSession, d: str) -> DataFrame:
-    """K3, K4, C17."""
+    """C17."""
     body = F.concat_ws(":", "o_orderpriority", "o_orderkey")
     return table(spark, d, "orders").select("o_orderkey", F.sha2(body, 256).alias("digest"), hashing.cache_key(body).alias("key"))
 
