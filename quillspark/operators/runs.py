@@ -59,11 +59,11 @@ def require_disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
         raise ValueError(f"{both[0][0]} is on both sides; compare them paired")
 
 
-def differing_keys(a: DataFrame, b: DataFrame, keys: list[str], on: Column) -> DataFrame:
-    """(differing): which manifest keys differ, null equal to null, between rows a and b that on matches."""
+def differing_keys(a: DataFrame, b: DataFrame, keys: list[str], on: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep (columns of a) and differing: which manifest keys differ, null equal to null, between rows a and b that on matches."""
     left, right = a.alias("a"), b.alias("b")
     joined = left.join(right, on)
-    return joined.select(F.filter(F.array(*[F.when(~F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")), F.lit(k)) for k in keys]), lambda k: k.isNotNull()).alias("differing"))
+    return joined.select(*[F.col(f"a.{c}") for c in keep], F.filter(F.array(*[F.when(~F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")), F.lit(k)) for k in keys]), lambda k: k.isNotNull()).alias("differing"))
 
 
 def complete_runs(runs: DataFrame, wanted: DataFrame, run: str, key: str) -> DataFrame:

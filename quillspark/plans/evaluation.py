@@ -116,10 +116,10 @@ def unpaired_delta_interval(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(statistics.unpaired_interval(a, b, ["g"], "doc_id", "toxic", 10_000, "gap"), "point", "low", "high")
 
 
-_TWO_SQL = f"select t.item_id o, count(*) filter (not t.correct)::double e, count(*) filter (not t.correct and not s.correct and t.item_id % 3 = s.item_id % 3)::double i from (select * from ({_OUT_SQL}) where k = 9) t join (select * from ({_OUT_SQL}) where k = 5) s using (item_id, field) group by 1"
+_TWO_SQL = f"select t.item_id o, count(*) filter (not t.correct)::double err, count(*) filter (not t.correct and not s.correct and t.item_id % 3 = s.item_id % 3)::double rep from (select * from ({_OUT_SQL}) where k = 9) t join (select * from ({_OUT_SQL}) where k = 5) s using (item_id, field) group by 1"
 
 
-@_query(f"select n, point, low, high from ({_boot(f'select 1 g, * from ({_TWO_SQL})', 'g', 10_000, 'inherited', 'sum(i) / greatest(sum(e), 1)')})")
+@_query(f"select n, point, low, high from ({_boot(f'select 1 g, * from ({_TWO_SQL})', 'g', 10_000, 'inherited', 'sum(rep) / greatest(sum(err), 1)')})")
 def inherited_interval(spark: SparkSession, d: str) -> DataFrame:
     """The share of a teacher's errors that its student repeats, resampled by filing."""
     out = _outcomes(spark, d).withColumn("predicted", F.when(F.col("item_id") % 3 > 0, (F.col("item_id") % 3).cast("string")))
@@ -243,7 +243,7 @@ def audit_fields(spark: SparkSession, d: str) -> DataFrame:
     return ev.audit_fields(_sheet(spark, d))
 
 
-@_query(f"""select run, suite, items, correct, ungradeable_items, calls, latency_p50_ms, round(cost_usd, 6) cost_usd, uncosted_calls from (select run, field suite, count(*) items, count(*) filter (correct) correct from (select k run, field, correct from ({_OUT_SQL})) group by 1, 2)
+@_query(f"""select run, suite, items, correct, ungradeable_items, calls, latency_p50_ms, round(cost_usd, 6) cost_usd, uncosted_calls from (select run, field suite, count(*) items, count(*) filter (correct) correct from (select k::bigint run, field, correct from ({_OUT_SQL})) group by 1, 2)
   join (select run, count(*) filter (not ok) ungradeable_items, count(*) calls, quantile_disc(latency_ms, 0.5) filter (ok) latency_p50_ms, coalesce(sum(cost_usd) filter (costed), 0) cost_usd, count(*) filter (ok and not costed) uncosted_calls from ({_CALL_SQL}) group by 1) using (run)""")
 def gate_sides(spark: SparkSession, d: str) -> DataFrame:
     """A suite per field of each side, with the counters of its calls."""
@@ -422,5 +422,5 @@ def report_table(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.reports import markdown_lines
 
     out = ev.cheapest_first(_rounded(ev.run_summaries(_calls(spark, d), ["run"]), "usd_per_1000", "accuracy"), "run", "usd_per_1000")
-    shown = out.select("place", F.col("run").cast("string").alias("run"), text.percent(F.col("accuracy")).alias("accuracy"), F.coalesce(F.format_string("%,.2f", "usd_per_1000"), F.lit("not costed")).alias("usd"))
+    shown = out.select("place", F.col("run").cast("string").alias("run"), text.percent(F.col("accuracy")).alias("accuracy"), F.when(F.col("usd_per_1000").isNotNull(), F.format_string("%,.2f", "usd_per_1000")).otherwise("not costed").alias("usd"))
     return markdown_lines(shown, "place", ["run", "accuracy", "usd"])

@@ -258,15 +258,15 @@ def accession_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", hashing.accession_of(F.concat(F.lit("edgar/data/"), F.col("o_custkey").cast("string"), F.lit("/"), own, F.lit(".txt"))).alias("accession"))
 
 
-@_query("""select a.o_orderkey, array_to_string(list_sort(list_filter([case when a.o_orderstatus is distinct from b.o_orderstatus then 'o_orderstatus' end, case when a.o_orderpriority is distinct from b.o_orderpriority then 'o_orderpriority' end, case when a.o_custkey is distinct from b.o_custkey then 'o_custkey' end], x -> x is not null)), '|') differing
+@_query("""select a.o_orderkey, array_to_string(list_sort(list_filter([case when a.o_orderstatus is distinct from b.o_orderstatus then 'o_orderstatus' end, case when a.o_orderpriority is distinct from b.o_orderpriority then 'o_orderpriority' end, case when a.o_custkey is distinct from b.o_custkey then 'o_custkey' end], lambda x: x is not null)), '|') differing
   from orders a join orders b on b.o_orderkey = a.o_orderkey + 1""")
 def manifest_differences(spark: SparkSession, d: str) -> DataFrame:
     """which keys of two manifests differ."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
     keys = ["o_orderstatus", "o_orderpriority", "o_custkey"]
     a, b = o, o.withColumn("o_orderkey", F.col("o_orderkey") - 1)
-    found = runs.differing_keys(a, b.select(F.col("o_orderkey").alias("_next"), *keys), keys, F.col("a.o_orderkey") == F.col("b._next"))
-    return found.select("o_orderkey", _joined(F.array_sort("differing")).alias("differing")) if "o_orderkey" in found.columns else found
+    found = runs.differing_keys(a, b.select(F.col("o_orderkey").alias("_next"), *keys), keys, F.col("a.o_orderkey") == F.col("b._next"), ("o_orderkey",))
+    return found.select("o_orderkey", _joined(F.array_sort("differing")).alias("differing"))
 
 
 @_query("""select count(*) filter (answered) joined, count(*) filter (not answered) failed from (select event_type <> 'error' and value is not null answered from events where user_id in (select c_custkey from customer))""")
