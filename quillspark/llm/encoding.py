@@ -280,7 +280,10 @@ def _is_word_vocabulary(path: str) -> bool:
 def encoder(path: str, ids: bool) -> Encoder:
     """The worker's encoder of a tokenizer file; it holds some 60 MB at most."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return resident(("encoder", path, ids), lambda: (WordEncoder if not path.endswith(".model") and _is_word_vocabulary(path) else Encoder)(path, ids))
+    own = resident(("encoders", path), dict)
+    if ids not in own:
+        own[ids] = (WordEncoder if not path.endswith(".model") and _is_word_vocabulary(path) else Encoder)(path, ids)
+    return own[ids]
 
 
 def token_counts(texts: pa.Array, path: str) -> np.ndarray:

@@ -153,9 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("double").alias("y")).where(crc_bucket(F.col("key"), held) != 0)
     chosen = rows.orderBy(F.xxhash64("key"), "key", "y").limit(sample)
     found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "y", *[s.alias(n) for s, n in zip(statistics(F.col("text")), STATISTICS, strict=True)])
-    table = found.groupBy("key").agg(F.min(F.struct("y", *STATISTICS)).alias("r")).select("r.*").orderBy("y", *STATISTICS).toArrow()  # a row per label
+    table = found.groupBy("key").agg(F.min(F.struct("y", *STATISTICS)).alias("r")).select("r.*").toArrow()  # a row per label
     x = np.column_stack([table.column(n).to_numpy() for n in STATISTICS]) if len(table) else np.zeros((0, len(STATISTICS)))
-    return fit_rules(x, table.column("y").to_numpy() if len(table) else np.zeros(0))
+    y = table.column("y").to_numpy() if len(table) else np.zeros(0)
+    order = np.lexsort((*x.T[::-1], y))  # the same whatever order rows come in
+    return fit_rules(x[order], y[order])
 
 
 def score(docs: DataFrame, model: RuleModel, key: str = "doc_id", text: str = "text", held: int = HELD, threshold: float = THRESHOLD) -> DataFrame:
