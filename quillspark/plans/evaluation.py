@@ -14,7 +14,7 @@ from .queries import _query, table
 _MAIN, _SMALL = "7b-r16-lr1e-4-nall-s0-e1", "3b-r8-lr1e-4-nall-s0-e1"
 RUNS = [
     (0, _MAIN, "bf16"), (1, _MAIN, "awq"), (2, _MAIN, "gguf-q4_k_m"), (3, "7b-r16-lr1e-4-n1000-s0-e1", "bf16"), (4, "7b-r16-lr1e-4-n1000-s1-e1", "bf16"),
-    (5, f"{_MAIN}-distill-luna", "bf16"), (6, _SMALL, "awq"), (7, "7b-r64-lr1e-4-nall-s0-e1", "bf16"), (8, f"{_SMALL}-long", "bf16"), (9, "frontier", "bf16"),
+    (5, f"{_MAIN}-distill", "bf16"), (6, _SMALL, "awq"), (7, "7b-r64-lr1e-4-nall-s0-e1", "bf16"), (8, f"{_SMALL}-long", "bf16"), (9, "frontier", "bf16"),
 ]
 _RUNS_SQL = "(values " + ", ".join(f"({k}, '{r}', '{f}')" for k, r, f in RUNS) + ") r(k, run, format)"
 _OUT_SQL = f"select k, run, format, doc_id item_id, 'f' || j field, ((doc_id * 7 + j * 3 + k * 13 + quality * 5) % (9 + k)) > 1 correct from labels, (select unnest(range(5)) j), {_RUNS_SQL}"
@@ -69,7 +69,7 @@ def quantisation_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(ev.format_verdicts(_outcomes(spark, d), "run", "format", "item_id", 10_000, "quantised"), "point", "low", "high", "worst_delta")
 
 
-_PAIRS = [(5, f"{_MAIN}-distill-luna", _MAIN), (8, f"{_SMALL}-long", _SMALL)]
+_PAIRS = [(5, f"{_MAIN}-distill", _MAIN), (8, f"{_SMALL}-long", _SMALL)]
 _PAIR_SQL = f"select a.run, b.run control, a.o, a.v - b.v v from (select run, item_id o, avg(correct::int) v from ({_OUT_SQL}) where k in (5, 8) group by 1, 2) a join (select run, item_id o, avg(correct::int) v from ({_OUT_SQL}) where k in (0, 3, 4, 7, 9) group by 1, 2) b on a.o = b.o and a.run like b.run || '-%'"
 
 

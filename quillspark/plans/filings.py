@@ -280,15 +280,15 @@ def graded_calls(spark: SparkSession, d: str) -> DataFrame:
 
 # Sources ---------------------------------------------------------------------------------------------------------------------
 
-_INDEX = ["Form Type   Company Name      CIK    Date Filed  File Name", "-" * 60, "1                Dream Exchange Holdings, Inc.        2057750     2025-02-14  edgar/data/2057750/0001-25-000001.txt", "10-Q             1 800 FLOWERS COM INC   1084869     2025-01-31  edgar/data/1084869/0002-25-000002.txt", "SC 13G/A     BETA  CORP, LLC /NY/             789019      2025-02-10  edgar/data/789019/0003-25-000003.txt", "not a row"]
+_INDEX = ["Form Type   Company Name      CIK    Date Filed  File Name", "-" * 60, "1                Harbor Light Holdings, Inc.        2000001     2025-02-14  edgar/data/2000001/0001-25-000001.txt", "10-Q             24 7 KITCHENS CO INC   1000002     2025-01-31  edgar/data/1000002/0002-25-000002.txt", "SC 13G/A     ZETA  WORKS, LLC /NY/             700003      2025-02-10  edgar/data/700003/0003-25-000003.txt", "not a row"]
 
 
-@_cases("S1, C16: index rows read from the right.", "value string", [(x,) for x in _INDEX], "form varchar, company varchar, cik bigint, filed varchar, accession varchar", [("1", "Dream Exchange Holdings, Inc.", 2057750, "2025-02-14", "0001-25-000001"), ("10-Q", "1 800 FLOWERS COM INC", 1084869, "2025-01-31", "0002-25-000002"), ("SC 13G/A", "BETA  CORP, LLC /NY/", 789019, "2025-02-10", "0003-25-000003")])
+@_cases("S1, C16: index rows read from the right.", "value string", [(x,) for x in _INDEX], "form varchar, company varchar, cik bigint, filed varchar, accession varchar", [("1", "Harbor Light Holdings, Inc.", 2000001, "2025-02-14", "0001-25-000001"), ("10-Q", "24 7 KITCHENS CO INC", 1000002, "2025-01-31", "0002-25-000002"), ("SC 13G/A", "ZETA  WORKS, LLC /NY/", 700003, "2025-02-10", "0003-25-000003")])
 def index_rows(df: DataFrame) -> DataFrame:
     return filings.form_index(df).withColumn("filed", F.col("filed").cast("string"))
 
 
-@_cases("F1: annual and quarterly forms only.", "value string", [(x,) for x in _INDEX], "form varchar, cik bigint", [("10-Q", 1084869)])
+@_cases("F1: annual and quarterly forms only.", "value string", [(x,) for x in _INDEX], "form varchar, cik bigint", [("10-Q", 1000002)])
 def index_forms(df: DataFrame) -> DataFrame:
     return filings.form_index(df, forms=["10-K", "10-Q"])
 
