@@ -78,5 +78,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+#: op4 in full, for tables whose document ids are unique.
+OP4_SQL = f"""with d as (select doc_id, {_WORDS} w from documents), b as (select item_id::varchar item_id, {_WORDS} w from benchmark),
+  bw as (select item_id, w, least(13, len(w)) k, unnest(range(len(w) - least(13, len(w)) + 1)) i from b where len(w) > 0),
+  bk as (select distinct item_id, k, array_to_string(w[i + 1:i + k], ' ') s from bw), ks as (select distinct k from bk),
+  dw as (select doc_id, k, i, array_to_string(w[i + 1:i + k], ' ') s from (select doc_id, w, k, unnest(range(greatest(len(w) - k + 1, 0))) i from d, ks)),
+  h as (select distinct doc_id, i, k from dw semi join bk using (k, s)), n as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + k)) p from h) group by 1),
+  it as (select doc_id, list_sort(list(distinct item_id)) l from dw join bk using (k, s) group by 1)
+  select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(len(l), 0)::bigint n_items, sha256(coalesce(array_to_string(l, ','), '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated from d left join n using (doc_id) left join it using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": OP4_SQL}

@@ -22,13 +22,14 @@ import pytest
 from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from oracle import differences
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspark.llm import common, components, decontamination, encoding, html_text, lattice, minhash, packing, personal_data, quality_model, quality_rules, secret_scan
 from quillspark.llm.common import vocabulary_path
 from quillspark.llm.html_text import render
-from quillspark.llm.queries import queries
+from quillspark.llm.queries import oracle_sql, queries
 
 WORDS = vocabulary_path("word_bpe_49k.json")
 
@@ -163,6 +164,10 @@ def test_decontamination_in_one_block_and_in_many(spark, docs):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in many.collect()} == want
 
 
+def test_decontamination_equals_its_sql(spark):
+    assert differences(spark, queries()["op4_decontamination"], oracle_sql()["op4_decontamination"], "/root/testdata/sf0.01") == []
+
+
 @pytest.mark.parametrize("most", [60, 400, 5_000])
 def test_long_items_keep_their_windows_over_blocks(spark, docs, most):
     bench = spark.createDataFrame([("long", " ".join(t for t in list(docs.values())[:3] if t)), ("short", "the of"), (None, "und die"), ("twelve", "a b c d e f g h i j k l"), ("none", "..")], "item_id string, text string")
