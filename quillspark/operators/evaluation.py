@@ -112,7 +112,7 @@ def inherited_interval(student: DataFrame, teacher: DataFrame, item: str, key: l
     items = both.groupBy(item).agg(F.count_if("_wrong").cast("double").alias("e"), F.count_if(same).cast("double").alias("i")).withColumn("g", F.lit("all"))
     if not items.where("e > 0").take(1):
         raise ValueError("the teacher made no errors")
-    return statistics.portable_interval(items, ["g"], item, F.sum("i") / F.greatest(F.sum("e"), F.lit(1.0)), resamples, seed).drop("g")
+    return statistics.portable_interval(items, ["g"], item, {c: F.col(c) for c in "ei"}, F.col("i") / F.greatest("e", F.lit(1.0)), resamples, seed).drop("g")
 
 
 def measured_levels(levels: DataFrame, concurrency: int = SERVING_CONCURRENCY) -> DataFrame:

@@ -136,9 +136,9 @@ _LATENCY_SQL = "select quality, doc_id o, ((doc_id * 37) % 1009)::double v, toxi
 def percentile_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Nearest-rank percentiles and a rate with bootstrap intervals."""
     rows = table(spark, d, "labels").select("quality", "doc_id", ((F.col("doc_id") * 37) % 1009).cast("double").alias("v"), "toxic")
-    of = {"p50": statistics.nearest_rank("v", 50), "p99": statistics.nearest_rank("v", 99), "rate": F.avg("toxic")}
-    parts = [_rounded(statistics.portable_interval(rows, ["quality"], "doc_id", s, 2_000, "latency"), "point", "low", "high").select("quality", F.lit(n).alias("statistic"), "n", "point", "low", "high") for n, s in of.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    ranks = statistics.portable_quantiles(rows, ["quality"], "doc_id", "v", {"p50": 50, "p99": 99}, 2_000, "latency")
+    rate = statistics.portable_bootstrap(rows, ["quality"], "doc_id", "toxic", 2_000, "latency").withColumn("statistic", F.lit("rate"))
+    return _rounded(ranks.unionByName(rate).select("quality", "statistic", "n", "point", "low", "high"), "point", "low", "high")
 
 
 @_query(_boot("select role, conv_id * 100 + turn o, length(text)::double v from conversations", "role", 2_000, "length", "avg(v)"))
