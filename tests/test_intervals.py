@@ -84,6 +84,21 @@ def test_percentiles_equal_single_draws(spark, monkeypatch, held):
         assert r.n == len(of) and (r.point, r.low, r.high) == pytest.approx(expected(of, 120, "s", rank(shares[r.statistic])))
 
 
+def test_an_unpaired_interval_equals_single_draws(spark):
+    rows = frame(spark).where("g = 'a'")
+    got = statistics.unpaired_interval(rows.where("h = 1"), rows.where("h = 2"), ["g"], "k", "v", 120, "s").first()
+    left, right = groups()[("a", 1)], groups()[("a", 2)]
+    sides = [[mean([of[pick(f"s-{name}", r, i) % len(of)] for i in range(len(of))]) for r in range(120)] for name, of in (("left", left), ("right", right))]
+    gaps = [x - y for x, y in zip(*sides, strict=True) if x is not None and y is not None]
+    assert (got.n, got.point) == (47, pytest.approx(mean(left) - mean(right)))
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(gaps, [2.5, 97.5])))
+
+
+def test_an_unpaired_interval_of_a_thousand_items_takes_seconds(spark):
+    rows = spark.range(1000).select(F.lit("a").alias("g"), "id", (F.col("id") % 7).alias("v"))
+    assert seconds(lambda: statistics.unpaired_interval(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), ["g"], "id", "v", 10_000, "s").collect()) < 20
+
+
 def test_no_rows_give_no_interval(spark):
     none = frame(spark).where("k < 0")
     assert statistics.portable_bootstrap(none, ["g"], "k", "v", 50, "s").collect() == []
