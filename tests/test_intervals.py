@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import draws, statistics
+from quillspark.operators import evaluation as ev
 
 
 def pick(seed: str, r: int, i: int) -> int:
@@ -99,6 +100,25 @@ def test_an_unpaired_interval_of_a_thousand_items_takes_seconds(spark):
     assert seconds(lambda: statistics.unpaired_interval(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), ["g"], "id", "v", 10_000, "s").collect()) < 20
 
 
+def answers(spark, n: int):
+    """(student, teacher) of n items with two fields each."""
+    rows = spark.range(n).select("id", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("field"), (F.col("id") % 2).cast("string").alias("predicted"))
+    return rows.withColumn("correct", F.col("id") % 3 > 0), rows.withColumn("correct", (F.col("id") % 4 > 0) | (F.col("field") == "y"))
+
+
+def test_an_inherited_share_equals_single_draws(spark):
+    got = ev.inherited_interval(*answers(spark, 50), "id", ["id", "field"], 120, "s").first()
+    wrong, both = [i % 4 == 0 for i in range(50)], [i % 12 == 0 for i in range(50)]
+    drawn = [[pick("s", r, i) % 50 for i in range(50)] for r in range(120)]
+    shares = [sum(both[i] for i in of) / max(1, sum(wrong[i] for i in of)) for of in drawn]
+    assert (got.n, got.point) == (50, pytest.approx(sum(both) / sum(wrong)))
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(shares, [2.5, 97.5])))
+
+
+def test_an_inherited_share_of_a_thousand_items_takes_seconds(spark):
+    assert seconds(lambda: ev.inherited_interval(*answers(spark, 1000), "id", ["id", "field"], 10_000, "s").collect()) < 20
+
+
 def test_no_rows_give_no_interval(spark):
     none = frame(spark).where("k < 0")
     assert statistics.portable_bootstrap(none, ["g"], "k", "v", 50, "s").collect() == []
