@@ -155,7 +155,8 @@ def content(text: Column | str) -> Column:
         for texts in batches:
             yield pa.array([x for run in _runs(texts) for x in _content(run)], pa.binary())
 
-    return digest(text)
+    # else a filter or join by it is pushed below, and each task hashes all texts twice, in two Python workers
+    return digest.asNondeterministic()(text)
 
 
 def sketch(text: Column | str, bands: int = BANDS, width: int = ROWS, weighted: bool = True) -> Column:

@@ -95,7 +95,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     n_groups = max(1, math.ceil(docs.count() / group))
     found = (
         docs.select(F.col(key).alias("_key"), pieces(F.col(text), path, size, end_id).alias("_p"))
-        .select("_key", F.inline("_p"))
+        .select("_key", F.inline_outer("_p"))  # each has a piece; inline's filter of empty ones would encode all texts twice, in two workers
         .repartition(n_groups)
         .sortWithinPartitions(F.xxhash64("_key", "piece", "ids_crc32"), "_key", "piece", "ids_crc32")
     )

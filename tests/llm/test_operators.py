@@ -332,6 +332,16 @@ def test_a_rare_language_is_not_judged_by_another(spark, monkeypatch, few, most)
     assert len(found) == few + 1 and all(r.kept for r in found)
 
 
+def test_texts_are_encoded_and_hashed_once(spark):
+    """One Python node, so one worker a task, also below filters and joins by its result."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id int, text string")
+    hashed = docs.select("doc_id", minhash.content("text").alias("content"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for found in (packing.pack(docs), hashed.where("content is not null"), hashed.join(F.broadcast(hashed.select("content").distinct().limit(1)), "content", "left_semi")):
+        assert plan(found).count("ArrowEvalPython") == (2 if "BroadcastHashJoin" in plan(found) else 1)
+    assert {(r.doc_id, r.length) for r in packing.pack(docs).collect()} == {(1, 3), (2, 1), (3, 1)}
+
+
 def test_lattice_equals_the_sum_over_segmentations():
     pieces = [b" ", b"a", b"b", b"ab", b" a", b"ba", b"aba"]
     lw = np.log(np.array([0.1, 0.2, 0.1, 0.2, 0.1, 0.1, 0.2]))
